@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm import canonical, heavy
+from tracegrid.llm import bpe, canonical, heavy, packing
 from tracegrid.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,30 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     return top.select(_field_kind().alias("field_kind"), F.col("value").alias("item"), "approx_count", "error", "exact_count", "n")
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_table(table(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in the containers of each kind."""
+    docs = table(spark, sf, "documents")
+    # The kinds are a fixed handful by definition; more than a hundred would be another table.
+    kinds = [(r["container_kind"], r["capacity_tokens"]) for r in table(spark, sf, "containers").limit(100).collect()]
+    items = bpe.count_table(docs, "doc_id", F.col("text")).withColumn("loss_tokens", F.col("n_tokens"))
+    return packing.pack(items, kinds, docs.count())
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind: containers, tokens in them, and the share of room in use."""
+    packed = p8_packed(spark, sf)
+    caps = table(spark, sf, "containers").select("container_kind", F.col("capacity_tokens").alias("capacity"))
+    per = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"))
+    per = per.groupBy("container_kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
+    return per.join(caps, "container_kind").withColumn("share_used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts, p7_ids, p8_packed, p8_fill)}
 
 
 _CANONICAL = r"""
