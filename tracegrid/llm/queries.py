@@ -13,21 +13,22 @@ from tracegrid.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _addresses(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.canonical_urls(table(spark, sf, "capture_index"), "entry_id", "url")
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "capture_index")
-    return canonical.copies(t, "entry_id", canonical.canonical_url(F.col("url")))
+    return canonical.copies(_addresses(spark, sf))
 
 
 def p1_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     """One record per address with the number of its copies."""
-    t = table(spark, sf, "capture_index")
-    return canonical.collapse(t, "entry_id", canonical.canonical_url(F.col("url"))).select("first_id", "n_copies")
+    return canonical.collapse(_addresses(spark, sf)).select("first_id", "n_copies")
 
 
 def p1_collisions(spark: SparkSession, sf: str) -> DataFrame:
     """Digests that two different addresses share."""
-    t = table(spark, sf, "capture_index")
-    found = canonical.collisions(canonical.collapse(t, "entry_id", canonical.canonical_url(F.col("url"))))
+    found = canonical.collisions(canonical.collapse(_addresses(spark, sf)))
     return found.select(F.lower(F.hex("_h")).alias("digest"), "n_texts")
 
 
