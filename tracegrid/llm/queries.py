@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm import bpe, canonical, heavy, packing
+from tracegrid.llm import bpe, canonical, heavy, packing, residue
 from tracegrid.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,21 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     return top.select(_field_kind().alias("field_kind"), F.col("value").alias("item"), "approx_count", "error", "exact_count", "n")
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = table(spark, sf, "captures"), table(spark, sf, "site_analyses")
+    pages = residue.judged_captures(a, F.col("capture_id"), F.col("url"), F.col("page_data.metadata"), F.col("page_data.html_content"))
+    return pages.unionByName(residue.judged_robots(b, F.col("record_id"), F.col("url"), F.col("robots_analysis")))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(_judged(spark, sf))
+
+
+def p6_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks that recur on a host, by hash: what is subtracted before a record is judged."""
+    return residue.boilerplate(_judged(spark, sf))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf, "documents"), "doc_id", F.col("text"))
 
@@ -82,7 +97,7 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts, p7_ids, p8_packed, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts, p6_found, p6_boilerplate, p7_ids, p8_packed, p8_fill)}
 
 
 _CANONICAL = r"""
