@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.operators import merkle
+from tracegrid.operators import merkle, schema_drift
 from tracegrid.operators.tree_aggregate import platform_key, shares, tree_aggregate
 from tracegrid.session import table
 
@@ -86,6 +86,15 @@ def p4_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.nodes(_children(spark, sf, content=True))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return schema_drift.changes(table(spark, sf, "capture_batches"))
+
+
+def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
+    """Every readable record in the first names and types of its fields."""
+    return schema_drift.unified(table(spark, sf, "capture_batches"))
+
+
 _KEY = r"CASE WHEN coalesce(trim(cms, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), '') = '' THEN 'unknown' ELSE lower(trim(cms, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) END"
 _PLATFORMS = f"""
 WITH p AS (
@@ -129,7 +138,7 @@ SELECT owner_table, owner_id, child_path, parent_key, item_no::INTEGER AS item_n
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_index, p3_distribution, p3_platforms, p3_found, p4_found, p4_bridges, p4_nodes)}
+    return {f.__name__: f for f in (p3_index, p3_distribution, p3_platforms, p3_found, p4_found, p4_bridges, p4_nodes, p5_found, p5_unified)}
 
 
 def oracle_sql() -> dict[str, str]:
