@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm import bpe, canonical, heavy, packing, residue
+from tracegrid.llm import bpe, canonical, heavy, packing, quality, residue
 from tracegrid.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,8 +96,27 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return per.join(caps, "container_kind").withColumn("share_used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
 
 
+def _classified(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "doc_labels"), "doc_id", F.col("text"), docs.count())
+    return quality.classified(docs, "doc_id", F.col("text"), model)
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _classified(spark, sf).where("doc_class <> 'prose'").select("doc_id", "doc_class")
+
+
+def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of every document with its calibrated probability."""
+    return _classified(spark, sf)
+
+
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.statistics(table(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts, p6_found, p6_boilerplate, p7_ids, p8_packed, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts, p6_found, p6_boilerplate, p7_ids, p8_packed, p8_fill, p9_found, p9_classes, p9_statistics)}
 
 
 _CANONICAL = r"""
@@ -132,11 +151,24 @@ WITH v AS (
 t AS (SELECT *, sum(k) OVER (PARTITION BY field_kind) AS n FROM c)
 """
 
+_STATISTICS = r"""
+WITH w AS (
+  SELECT doc_id, text AS t, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS w,
+    list_filter(string_split_regex(text, '[\r\n]+'), lambda x: length(trim(x, ' ')) > 0) AS l FROM documents
+)
+SELECT doc_id, coalesce(len(w), 0)::INTEGER AS word_count,
+  round(length(array_to_string(w, '')) / nullif(len(w), 0), 6) AS mean_word_length,
+  round(length(regexp_replace(t, '[\p{L}\p{N} \t\r\n]', '', 'g')) / nullif(length(t), 0), 6) AS symbol_ratio,
+  round(len(list_filter(l, lambda x: regexp_matches(trim(x, ' '), '[.!?:;]$'))) / nullif(len(l), 0), 6) AS punctuated_lines,
+  round(len(list_filter(w, lambda x: lower(regexp_replace(x, '[^\p{L}]', '', 'g')) IN (@COMMON))) / nullif(len(w), 0), 6) AS common_words
+FROM w"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _CANONICAL + "SELECT first_id AS entry_id_a, entry_id AS entry_id_b FROM grouped WHERE entry_id <> first_id",
         "p1_collapsed": _CANONICAL + "SELECT first_id, count(*) AS n_copies FROM grouped GROUP BY first_id",
         "p1_collisions": _CANONICAL + "SELECT md5(k) AS digest, count(DISTINCT k) AS n_texts FROM grouped GROUP BY md5(k) HAVING count(DISTINCT k) > 1",
+        "p9_statistics": _STATISTICS.replace("@COMMON", ", ".join(f"'{w}'" for w in sorted(quality.COMMON))),
         "p2_found": _VALUES + "SELECT field_kind, item FROM t WHERE k * 200 >= n",
     }
