@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.plans import records
+from tracegrid.plans import features, records
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (records,)
+MODULES = (features, records)
 
 
 def queries() -> dict[str, Query]:
