@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.plans import features, records
+from tracegrid.plans import features, pairs, records
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (features, records)
+MODULES = (features, pairs, records)
 
 
 def queries() -> dict[str, Query]:
