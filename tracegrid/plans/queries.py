@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.plans import features, pairs, records
+from tracegrid.plans import features, names, pairs, records
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (features, pairs, records)
+MODULES = (features, pairs, names, records)
 
 
 def queries() -> dict[str, Query]:

@@ -85,3 +85,29 @@ WORDS_SQL = r"""obs AS (
 ORDERS_SQL = """obs AS (
   SELECT o_orderkey AS site, o_orderpriority AS platform, 's' || l_suppkey AS feature, l_linestatus AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 )"""
+
+# Header names that stand for suppliers, so that catalogue lookups meet data: one name per supplier key, by remainder.
+MAPPED = """x-pingback cf-ray x-served-by x-shopify-shop-id x-drupal-cache d-geo d-cache x-wp-total x-amz-cf-id x-powered-by server via x-cache-status x-aspnet-version x-laravel-session x-generator
+etag content-type strict-transport-security x-frame-options x-sorting-hat-shopid x-custom-trace wp-engine-id shopify-edge-ip next-data-version x-cache-hits x-robots-tag x-varnish x-request-id
+x-drupal-dynamic-cache acme-edge-id acme-edge-status acme-edge-cache x-acme-token x-acme-time session_id user_id x-app-version api-version recaptcha-token""".split()
+MAPPED_PLATFORMS = "WordPress Drupal Shopify Joomla unknown".split()
+
+
+def mapped_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as headers of the catalogue: site is the order, platform and feature follow from keys by remainder."""
+    li = table(spark, sf, "lineitem")
+    pick = lambda names, key: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(key) % len(names) + 1).cast("int"))
+    return li.select(
+        F.col("l_orderkey").alias("site"),
+        pick(MAPPED_PLATFORMS, "l_orderkey").alias("platform"),
+        pick(MAPPED, "l_suppkey").alias("feature"),
+        F.col("l_linestatus").alias("value"),
+        F.lit("mainpage").alias("page_kind"),
+        F.col("l_shipdate").alias("captured_at"),
+    )
+
+
+MAPPED_SQL = f"""obs AS (
+  SELECT l_orderkey AS site, {MAPPED_PLATFORMS!r}[(l_orderkey % {len(MAPPED_PLATFORMS)} + 1)::INT] AS platform, {MAPPED!r}[(l_suppkey % {len(MAPPED)} + 1)::INT] AS feature,
+    l_linestatus AS value, 'mainpage' AS page_kind, l_shipdate AS captured_at FROM lineitem
+)"""
