@@ -141,10 +141,15 @@ def _members(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.when(own.isNotNull() & ~F.is_variant_null(own), F.array(own)))
 
 
-def robots_document(text: Column) -> Column:
-    """A stored robots analysis as a struct of lists: wrapped documents unwrapped, unreadable ones null."""
+def unwrapped(text: Column) -> Column:
+    """A JSON document as a variant, also where it is stored once more as a JSON string; null if it cannot be read."""
     outer = F.try_parse_json(text)
-    doc = F.coalesce(F.try_parse_json(F.when(F.schema_of_variant(outer) == "STRING", F.try_variant_get(outer, "$", "string"))), outer)
+    return F.coalesce(F.try_parse_json(F.when(F.schema_of_variant(outer) == "STRING", F.try_variant_get(outer, "$", "string"))), outer)
+
+
+def robots_document(text: Column) -> Column:
+    """A stored robots analysis as a struct of lists; unreadable ones null."""
+    doc = unwrapped(text)
     headers = F.transform_values(F.try_variant_get(doc, "$.headers", "map<string,variant>"), lambda _, x: F.transform(_members(x, "$"), _text))
     groups = F.transform(
         _members(doc, "$.robots.groups"),

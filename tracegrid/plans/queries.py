@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.plans import features, names, pairs, records
+from tracegrid.plans import captures, features, names, pairs, records, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (features, pairs, names, records)
+MODULES = (features, pairs, names, validation, captures, records)
 
 
 def queries() -> dict[str, Query]:
