@@ -30,7 +30,7 @@ def pairs(obs: DataFrame, min_sites: int = 1) -> DataFrame:
     total = obs.agg(F.count_distinct("site")).scalar().cast("double")
     d = _carried(obs, min_sites, [])
     a, b = d.select("site", F.col("feature").alias("f1"), F.col("nf").alias("n1")), d.select("site", F.col("feature").alias("f2"), F.col("nf").alias("n2"))
-    both = a.join(b, "site").where("f1 < f2").groupBy("f1", "f2", "n1", "n2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
+    both = a.join(b, "site").where("f1 < f2").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.max("n1").alias("n1"), F.max("n2").alias("n2")).where(F.col("n") >= min_sites)
     both = both.withColumn("total", total)
     p12 = F.col("n") / F.col("total")
     mi = p12 * F.ln(p12 / (F.col("n1") / F.col("total") * (F.col("n2") / F.col("total"))))

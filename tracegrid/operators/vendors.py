@@ -58,7 +58,9 @@ def category_of(vendor: Column) -> Column:
 def detections(obs: DataFrame) -> DataFrame:
     """feature, vendor, category, kind, site_count, frequency, confidence of every header that a vendor is known for."""
     n = obs.agg(F.count_distinct("site")).scalar().cast("double")
-    per = obs.groupBy("feature").agg(F.count_distinct("site").alias("site_count")).withColumn("vendor", vendor_of(F.col("feature"))).where("vendor is not null")
+    per = obs.groupBy("feature").agg(F.count_distinct("site").alias("site_count"))
+    # The condition names the count, so the lookup stays above the aggregate: once per header instead of once per row.
+    per = per.withColumn("vendor", F.when(F.col("site_count") > 0, vendor_of(F.col("feature")))).where("vendor is not null")
     per = per.withColumns({"category": category_of(F.col("vendor")), "f": F.col("site_count") / n})
     kind = F.when(F.col("category").isin("cdn", "hosting"), "infrastructure").when(F.col("category").isin("cms", "ecommerce", "framework"), "discriminative").otherwise("mixed")
     f = F.col("f")
