@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tracegrid.llm.bpe import spread
 
 CLASSES = ("prose", "list", "table", "junk")
-SAMPLE = 12_000
-HOLDOUT = 5_000
+SAMPLE = 6_000
+HOLDOUT = 3_000
 #: The most common words of the four languages, a few dozen each.
 COMMON = frozenset(
     """the of and to in a is was for on that with as by at from it this an be are or which not had has have its but our we so if when after before no into
@@ -46,6 +46,7 @@ _DIRECTIVE = re.compile(r"\s*(?:user-agent|allow|disallow|sitemap|crawl-delay|ho
 _BORDER = re.compile(r"[\s+|:=-]*[+|][\s+|:=-]*")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _CODE = re.compile(r"function\b|\bvar\b|\breturn\b|=>|[{}]|;(?=\S)|\)\s*\{|_0x[0-9a-f]+|[\w\])]\[|!0|\bdef\b|\bimport\b|&&|\|\|")
+_CODE_HINT = re.compile(r"[{}()\[\]=|&]")
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|&#x?[0-9a-fA-F]+;|�")
 _MOJIBAKE = re.compile(r"Ã[\x80-\xbf¤¨©¼¶¡±³­ºŸ§]?|â€|Â[\xa0-\xbf]|Ð|Ñ[\x80-\xbf]")
 _VOWEL = re.compile(r"[aeiouyàâäáãåèéêëìíîïòóôöõùúûüœæ]", re.I)
@@ -82,14 +83,14 @@ def _is_junk(line: str) -> tuple[bool, bool]:
     longest = max(map(len, tokens))
     if longest >= 40 and not _LOCATION.fullmatch(max(tokens, key=len)) and longest > 0.4 * n:
         return True, False
-    if _UNIT.fullmatch(line):
+    if len(set(line[:64])) <= 8 and _UNIT.fullmatch(line):
         return True, False
     letters = sum(map(len, _WORD.findall(line)))
     if n >= 12 and letters < 0.3 * n and sum(c.isdigit() for c in line) < 0.5 * n and not _BORDER.fullmatch(line):
         return True, False
-    if n >= 40 and len(_CODE.findall(line)) > n / 25:
+    if n >= 40 and _CODE_HINT.search(line) and len(_CODE.findall(line)) > n / 25:
         return True, False
-    words = [w.lower() for w in _WORD.findall(line)]
+    words = _WORD.findall(line.lower())
     # Endless repetition: a handful of tokens, however long the line; a long text with few words of its own is not it.
     if len(tokens) >= 6 and len({t.lower().strip(".,;!") for t in tokens}) <= min(3, len(tokens) / 4) and not _row_items(line):
         return True, False
@@ -109,8 +110,8 @@ def describe(text: str) -> list[float]:
     raw = [x for x in text.splitlines() if x.strip()]
     lines = [x.strip() for x in raw]
     m = len(lines)
-    words = _WORD.findall(text)
-    lower = [w.lower() for w in words]
+    lower = _WORD.findall(text.lower())
+    words = lower
     tokens = text.split()
     letters = sum(map(len, words))
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
@@ -144,7 +145,7 @@ def describe(text: str) -> list[float]:
     short = [len(x.split()) <= 4 for x in lines]
     for i, x in enumerate(lines):
         size = len(x)
-        w = [t.lower() for t in _WORD.findall(x)]
+        w = _WORD.findall(x.lower())
         common = sum(t in COMMON for t in w)
         if _SENTENCE_END.search(x):
             flags["sentence"] += 1
@@ -190,7 +191,7 @@ def describe(text: str) -> list[float]:
         min(1.0, len(_ESCAPE.findall(text)) * 6 / n),
         sum(map(len, _MOJIBAKE.findall(text))) / n,
         sum(map(len, _TAG.findall(text))) / n,
-        min(1.0, len(_CODE.findall(text)) * 10 / n),
+        min(1.0, len(_CODE.findall(text)) * 10 / n) if _CODE_HINT.search(text) else 0.0,
         int(often.max()) / max(1, n - text.count(" ")),
         len(_VOWEL.findall(text)) / max(1, letters),
         min(len(tokens) / m, 500),
@@ -350,11 +351,13 @@ def vectors(df: DataFrame, id_col: str, text: Column) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text: Column, n_docs: int) -> Model:
     """The model of a corpus. What reaches the driver are SAMPLE + HOLDOUT vectors at most, picked by a hash of the id."""
     every = max(1, -(-n_docs // SAMPLE))
-    part = docs.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
-    x = np.array([r["x"] for r in vectors(part, id_col, text).limit(SAMPLE).collect()]).reshape(-1, len(NAMES))
+    part = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    # Ordered by the hash, so that the bound holds and the sample is the same for any partitioning.
+    rows = vectors(spread(part, "doc_id"), "doc_id", F.col("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    x = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))
     known = labels.where(F.col("doc_class").isin(*CLASSES)).select(F.col(id_col).alias("_id"), "doc_class").orderBy(F.xxhash64("_id"), "_id").limit(HOLDOUT)
-    held = docs.join(known, docs[id_col] == known["_id"]).select(docs[id_col], text.alias("_text"), "doc_class")
-    held = vectors(held.select(F.struct(id_col, "doc_class").alias("k"), "_text"), "k", F.col("_text")).collect()
+    held = docs.join(known, docs[id_col] == known["_id"]).select(F.struct(docs[id_col], "doc_class").alias("k"), text.alias("text"))
+    held = vectors(held.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism), "k", F.col("text")).limit(2 * HOLDOUT).collect()
     hx = np.array([r["x"] for r in held]).reshape(-1, len(NAMES))
     return Model(x, hx, np.array([CLASSES.index(r["doc_id"]["doc_class"]) for r in held], np.int64))
 
