@@ -198,3 +198,20 @@ def test_evolution_needs_both_halves(spark):
     rows = [(str(i), "p", "old" if i < 5 else "new" if i >= 15 else "both", "v", None, dt.datetime(2024, 1, 1 + i)) for i in range(20)]
     got = by(evolution(spark.createDataFrame(rows, OBS)).collect(), "feature")
     assert got["old"]["change"] == "deprecated" and got["new"]["change"] == "new" and "both" not in got
+
+
+def test_technologies_versions_and_features(spark):
+    from tracegrid.operators import technology as T
+
+    rows = [("a", "header", "server", "Apache/2"), ("a", "script", "", "/wp-content/jquery.js"), ("b", "header", "Server", None), ("b", "meta", "ng-version", "9"), ("c", "platform", "", "Joomla")]
+    found = T.detections(spark.createDataFrame(rows, "site string, dim string, name string, value string"), F.lit(3))
+    got = by(found.collect(), "technology")
+    assert set(got) == {"Apache", "WordPress", "jQuery", "Angular", "Drupal"} and got["jQuery"]["security"] == 0.6
+    one = T.stack(found).first()
+    assert (one["categories"], one["complexity"], one["modernity"]) == (3, "moderate", 0.5)
+    assert by(T.compatibility(found).collect(), "technology")["WordPress"]["fits"] == "Apache"
+    texts = spark.createDataFrame([(1, "WordPress 6.4.2"), (2, "Drupal 10"), (3, "WordPress 3.1"), (4, "Joomla! 4.2"), (5, None)], "id int, t string")
+    best = T.best_versions(texts.select("id", F.explode(T.versions_of(F.col("t"), "meta-generator", "high")).alias("v")).select("id", "v.*"), "id")
+    assert sorted((r["id"], r["version"]) for r in best.collect()) == [(1, "6.4.2"), (2, "10"), (4, "4.2")]
+    page = spark.createDataFrame([(1, "<link href='/wp-content/x'>", {"X-Pingback": ["u"]}, None), (2, None, None, None)], "id int, h string, m map<string,array<string>>, g string")
+    assert {r["feature"] for r in T.features(page, "id", F.col("h"), F.col("m"), F.col("g")).collect()} == {"hasWpContent", "hasPingback"}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracegrid.functions import catalogue as K
 from tracegrid.operators import corpus as C
 from tracegrid.operators import detect as D
+from tracegrid.operators import technology as T
 from tracegrid.operators.merkle import unwrapped
 from tracegrid.operators.tree_aggregate import platform_key
 from tracegrid.plans.names import _in
@@ -175,8 +176,46 @@ def name_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return D.name_consistency(table(spark, sf, "documents"), ["text"], "lang")
 
 
+def _technologies(spark: SparkSession, sf: str) -> DataFrame:
+    m = O.mapped_headers(spark, sf)
+    heads = m.select("site", F.lit("header").alias("dim"), F.col("feature").alias("name"), "value")
+    rows = heads.unionByName(m.select("site", F.lit("platform").alias("dim"), F.lit("").alias("name"), F.col("platform").alias("value")).distinct())
+    return T.detections(rows, m.agg(F.count_distinct("site")).scalar())
+
+
+def technology_detections(spark: SparkSession, sf: str) -> DataFrame:
+    return _technologies(spark, sf)
+
+
+def technology_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return T.stack(_technologies(spark, sf))
+
+
+def technology_fits(spark: SparkSession, sf: str) -> DataFrame:
+    return T.compatibility(_technologies(spark, sf))
+
+
+def platform_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Best valid version per site from generator tags; platforms of the catalogue stand in for the invented names."""
+    t = table(spark, sf, "meta_values").where("tag_key = 'name:generator' and tag_value is not null and site_host is not null")
+    name = F.element_at(F.array(*[F.lit(x) for x in D.ORDER]), F.length("tag_value") % 4 + 1)
+    text = F.concat(name, F.lit(" "), F.regexp_replace("tag_value", r"[^0-9.]", ""))
+    found = t.select("site_host", F.explode(T.versions_of(text, "meta-generator", "high")).alias("v")).select("site_host", "v.*")
+    return T.best_versions(found, "site_host")
+
+
+def capture_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Telling features per platform: captures that show them."""
+    html = F.coalesce("page_data.html_content", F.lit(""))
+    for a, b in _STAND_INS:
+        html = F.replace(html, F.lit(a), F.lit(b))
+    t = table(spark, sf, "captures").dropDuplicates(["capture_id"])
+    per = T.features(t, "capture_id", html, F.col("page_data.http_info.headers"), F.col("page_data.metadata")["generator"])
+    return per.groupBy("platform", "feature", "confidence").agg(F.count_distinct("capture_id").alias("captures"))
+
+
 _ALL = (
-    index_query, url_normalise_dedup, latest_dedup, quality_filter_counts, script_names, script_extract, meta_extract, same_domain_scripts, robots_rules, robots_scores, wall_verdicts, wall_report,
+    technology_detections, technology_summary, technology_fits, platform_versions, capture_features, index_query, url_normalise_dedup, latest_dedup, quality_filter_counts, script_names, script_extract, meta_extract, same_domain_scripts, robots_rules, robots_scores, wall_verdicts, wall_report,
     storage_stats, temporal_range, index_percentiles, platform_comparison, best_of_detectors, mined_patterns, mined_signatures, rule_evaluation, set_completeness, name_consistency,
 )
 
@@ -240,9 +279,27 @@ SELECT capture_id, len(w)::INT AS walls, coalesce(list_sort(list_transform(w, la
 
 
 def oracle_sql() -> dict[str, str]:
+    stand_in = "coalesce(page_data.html_content, '')"
+    for a, b in _STAND_INS:
+        stand_in = f"replace({stand_in}, '{a}', '{b}')"
+    tech = f"""{O.MAPPED_SQL}, n AS (SELECT count(DISTINCT site) AS n FROM obs), f AS (
+SELECT site, 'Cloudflare' AS technology FROM obs WHERE feature = 'cf-ray' AND value <> '' UNION ALL SELECT site, 'AWS CloudFront' FROM obs WHERE contains(feature, 'x-amz-cf') AND value <> ''
+UNION ALL SELECT site, CASE platform WHEN 'WordPress' THEN 'WordPress' ELSE 'Drupal' END FROM obs WHERE platform IN ('WordPress', 'Drupal', 'Joomla')),
+td AS (SELECT technology, count(DISTINCT site) AS sites, CASE technology WHEN 'Cloudflare' THEN 'cdn' WHEN 'AWS CloudFront' THEN 'cdn' ELSE 'cms' END AS category, CASE technology WHEN 'Cloudflare' THEN .95 ELSE .9 END::DOUBLE AS confidence, CASE technology WHEN 'Cloudflare' THEN 'rising' ELSE 'stable' END AS trend,
+  round(count(DISTINCT site) / any_value(n)::DOUBLE, 6) AS adoption, CASE WHEN technology IN ('WordPress', 'Drupal') THEN .7 ELSE .8 END::DOUBLE AS security FROM f, n GROUP BY technology)"""
     lists = lambda name: f"array_to_string(list_sort(list_distinct(list_filter(list_transform(ls, lambda x: regexp_extract(x, '^(?i){name}\\s*:\\s*(.*?)\\s*$', 1)), lambda v: v <> ''))), ' ')"
     mined = _mined(0.01, 0.5)
     return {
+        "technology_detections": f"WITH {tech} SELECT * FROM td",
+        "technology_summary": f"WITH {tech} SELECT count(DISTINCT category) AS categories, 'simple' AS complexity, .5::DOUBLE AS modernity, string_agg(technology, ', ' ORDER BY technology) FILTER (WHERE confidence > .8) AS primary_stack FROM td",
+        "platform_versions": r"""WITH g AS (SELECT site_host, (['WordPress', 'Joomla', 'Drupal', 'Duda'])[(length(tag_value) % 4 + 1)::INT] AS platform, regexp_extract(regexp_replace(tag_value, '[^0-9.]', '', 'g'), '(\d+(?:\.\d+)*)', 1) AS v0 FROM meta_values WHERE tag_key = 'name:generator' AND tag_value IS NOT NULL AND site_host IS NOT NULL),
+h AS (SELECT site_host, platform, CASE WHEN platform IN ('WordPress', 'Joomla') THEN regexp_extract(v0, '^(\d+\.\d+(?:\.\d+)?)', 1) ELSE v0 END AS version FROM g),
+p AS (SELECT *, coalesce(try_cast(split_part(version, '.', 1) AS INT), 0) AS a, coalesce(try_cast(split_part(version, '.', 2) AS INT), 0) AS b, coalesce(try_cast(split_part(version, '.', 3) AS INT), 0) AS c FROM h WHERE version <> ''),
+ok AS (SELECT * FROM p WHERE (platform = 'WordPress' AND regexp_matches(version, '^\d+\.\d+(?:\.\d+)?$') AND a BETWEEN 4 AND 10 AND b <= 20 AND c <= 20) OR (platform = 'Drupal' AND regexp_matches(version, '^\d+(?:\.\d+){0,2}$') AND a BETWEEN 6 AND 11 AND b <= 50 AND c <= 50)
+  OR (platform = 'Joomla' AND regexp_matches(version, '^\d+\.\d+(?:\.\d+)?$') AND a BETWEEN 1 AND 5 AND b <= 10 AND c <= 50) OR (platform = 'Duda' AND regexp_matches(version, '^\d{4}$') AND a BETWEEN 4000 AND 9999))
+SELECT site_host, platform, min(version) AS version, 'meta-generator' AS source FROM ok GROUP BY site_host, platform""",
+        "capture_features": f"WITH c AS (SELECT DISTINCT ON (capture_id) capture_id, lower({stand_in}) AS t, list_transform(map_keys(page_data.http_info.headers), lambda k: lower(k)) AS h, lower(coalesce(page_data.metadata['generator'], '')) AS g FROM captures) "
+        + " UNION ALL ".join(f"SELECT '{p}' AS platform, '{f}' AS feature, {c}::DOUBLE AS confidence, count(*) AS captures FROM c WHERE {dict(html=f"contains(t, '{x}')", header=f"list_contains(h, '{x}')", generator=f"contains(g, '{x}')")[w]} HAVING count(*) > 0" for f, p, c, w, x in T.FEATURES),
         "index_query": f"SELECT * FROM (SELECT entry_id, {O._KEY} AS platform, confidence FROM capture_index WHERE confidence >= .8 AND loaded_at >= TIMESTAMP '2024-03-01' AND loaded_at < TIMESTAMP '2024-09-01') WHERE platform <> 'unknown'",
         "url_normalise_dedup": f"SELECT u AS normalized_url, count(*) AS n_rows, arg_min(entry_id, (-coalesce(confidence, -1e300), entry_id)) AS entry_id FROM (SELECT *, {_normal()} AS u FROM capture_index WHERE url IS NOT NULL) GROUP BY u",
         "latest_dedup": f"SELECT u AS normalized_url, arg_min(entry_id, (-coalesce(epoch_us(loaded_at), 0), entry_id)) AS entry_id FROM (SELECT *, {_normal(True)} AS u FROM capture_index WHERE url IS NOT NULL) GROUP BY u",
