@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHILD = "array<struct<child_path:string,parent_key:string,item_no:int,parent_hash:string,node_hash:string,content:string>>"
+CHILD = "array<struct<child_path:string,parent_key:string,item_no:int,parent_hash:binary,node_hash:binary,content:string>>"
 JSON_DOC = "struct<signals:array<string>,headers:map<string,array<string>>,groups:array<struct<agents:array<string>,disallows:array<string>,crawl_delay:string>>>"
 
 
@@ -70,8 +70,8 @@ def _walk(value: Column, kind: T.StructType, path: str, key: Column, parent: Col
                 F.lit(at).alias("child_path"),
                 parent_key.alias("parent_key"),
                 no.cast("int").alias("item_no"),
-                parent.alias("parent_hash"),
-                identity(x, of).alias("node_hash"),
+                F.unhex(parent).alias("parent_hash"),
+                F.unhex(identity(x, of)).alias("node_hash"),
                 _content(x, of, content).alias("content"),
             ),
         )
@@ -122,7 +122,9 @@ def bridges(df: DataFrame, owner_table: str, owner_id: Column, root: Column, con
     rows = rows.select("_owner", "_rh", children.alias("_c"))
     once = rows.groupBy("_owner", F.when(F.col("_owner").isNull(), F.col("_rh")).alias("_alone")).agg(F.min_by("_c", "_rh").alias("_c"))
     flat = once.select(F.lit(owner_table).alias("owner_table"), F.col("_owner").alias("owner_id"), F.explode("_c").alias("_x"))
-    return flat.select("owner_table", "owner_id", "_x.*") if content else flat.select("owner_table", "owner_id", *[f"_x.{c}" for c in ("child_path", "parent_key", "item_no", "parent_hash", "node_hash")])
+    # Identities travel as 16 bytes and become text at the end.
+    hashes = [F.lower(F.hex(F.col(f"_x.{c}"))).alias(c) for c in ("parent_hash", "node_hash")]
+    return flat.select("owner_table", "owner_id", "_x.child_path", "_x.parent_key", "_x.item_no", *hashes, *(["_x.content"] if content else []))
 
 
 def nodes(with_content: DataFrame) -> DataFrame:
