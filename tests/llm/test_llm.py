@@ -210,6 +210,17 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(df.limit(0), [("small", 512)], 0).count() == 0
 
 
+def test_short_cut_packs_like_the_vector_search(monkeypatch):
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        n = np.sort(rng.integers(1, 100, rng.integers(1, 400)))[::-1].copy()
+        quick = packing.fill(n, n, (100, 100, 100))
+        monkeypatch.setattr(packing, "_fill_line", None)
+        slow = packing.fill(n, n, (100, 100, 101))
+        monkeypatch.undo()
+        assert np.array_equal(quick, slow)
+
+
 def test_vector_limits():
     box = packing.fill(np.array([5, 5, 5, 5]), np.array([9, 9, 1, 1]), (20, 3, 10))
     for b in set(box.tolist()):

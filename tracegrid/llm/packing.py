@@ -29,6 +29,8 @@ _OUT = "container_kind string, container_id long, doc_id long, part_no int, toke
 
 def fill(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
     """The container number of each item; every item must fit an empty container. Items come in the order of preference."""
+    if limits[0] == limits[2] and limits[1] >= limits[0] and np.array_equal(tokens, loss):
+        return _fill_line(tokens, limits[0])
     caps = np.array(limits, float)
     sizes, which = np.unique(np.stack([tokens, loss], 1), axis=0, return_inverse=True)
     which = which.reshape(-1)
@@ -57,6 +59,44 @@ def fill(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) ->
     return out
 
 
+def _fill_line(tokens: np.ndarray, capacity: int) -> np.ndarray:
+    """The same containers where the three demands move together and the dot product only grows with the size.
+
+    The best item is then the largest that fits, found in a chain that skips the sizes that are used up.
+    """
+    sizes, which = np.unique(tokens, return_inverse=True)
+    order = np.argsort(which, kind="stable").tolist()
+    left = np.bincount(which, minlength=len(sizes)).tolist()
+    nxt = (np.cumsum([0, *left])[:-1]).tolist()
+    # at[s + 1]: the place of the largest size not above s, 0 for none; below[p]: the next place down that is not used up.
+    at = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
+    below = list(range(len(sizes) + 1))
+
+    def live(p: int) -> int:
+        root = p
+        while below[root] != root:
+            root = below[root]
+        while below[p] != root:
+            below[p], p = root, below[p]
+        return root
+
+    out = np.zeros(len(tokens), np.int64)
+    box, room = 0, capacity
+    widths = sizes.tolist()
+    for _ in range(len(tokens)):
+        p = live(at[room])
+        if p == 0:
+            box, room = box + 1, capacity
+            p = live(at[room])
+        out[order[nxt[p - 1]]] = box
+        nxt[p - 1] += 1
+        left[p - 1] -= 1
+        room -= widths[p - 1]
+        if left[p - 1] == 0:
+            below[p] = p - 1
+    return out
+
+
 def _cut(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Parts of the items: full parts of those above the capacity, and the rests."""
     n = rows["n_tokens"].to_numpy(np.int64)
