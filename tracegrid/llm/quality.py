@@ -20,7 +20,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +48,8 @@ _CODE = re.compile(r"function\b|\bvar\b|\breturn\b|=>|[{}]|;(?=\S)|\)\s*\{|_0x[0
 _CODE_HINT = re.compile(r"[{}()\[\]=|&]")
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|&#x?[0-9a-fA-F]+;|�")
 _MOJIBAKE = re.compile(r"Ã[\x80-\xbf¤¨©¼¶¡±³­ºŸ§]?|â€|Â[\xa0-\xbf]|Ð|Ñ[\x80-\xbf]")
-_VOWEL = re.compile(r"[aeiouyàâäáãåèéêëìíîïòóôöõùúûüœæ]", re.I)
+_BROKEN_HINT = re.compile(r"[ÃâÂÐÑ]")
+_IS_VOWEL = np.array([chr(i).lower() in "aeiouyàâäáãåèéêëìíîïòóôöõùúûüœæ" for i in range(0x250)])
 _SENTENCE_END = re.compile(r"[.!?…][\"'”»)]*\s*$")
 _UNIT = re.compile(r"(.{1,8}?)\1{5,}.{0,8}")
 _CELLS = (("\t", re.compile(r"\t")), ("|", re.compile(r"\s*\|\s*")), (";", re.compile(r";")), (",", re.compile(r",")), ("/", re.compile(r" / ")), ("  ", re.compile(r" {2,}")))
@@ -72,34 +72,43 @@ def _row_items(line: str) -> bool:
     return max(words) <= 6 and sum(words) <= 3.2 * len(parts) and sum(w.lower() in COMMON for p in parts for w in p.split()) <= 0.15 * sum(words)
 
 
-def _is_junk(line: str) -> tuple[bool, bool]:
+def _marks(line: str) -> tuple[int, int, int, int]:
+    """Escapes, characters of broken encodings, characters of tags, and signs of code in a line."""
+    escapes = len(_ESCAPE.findall(line)) if "\\" in line or "\ufffd" in line or "&#" in line else 0
+    broken = sum(map(len, _MOJIBAKE.findall(line))) if _BROKEN_HINT.search(line) else 0
+    tags = sum(map(len, _TAG.findall(line))) if "<" in line else 0
+    return escapes, broken, tags, len(_CODE.findall(line)) if _CODE_HINT.search(line) else 0
+
+
+def _vowels(text: str) -> int:
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return int(_IS_VOWEL[codes[codes < 0x250]].sum())
+
+
+def _is_junk(line: str, tokens: list[str], words: list[str], common: int, marks: tuple[int, int, int, int]) -> tuple[bool, bool]:
     """Whether a line is damaged, encoded, code or endless repetition; and whether it is words at random."""
     n = len(line)
-    if len(_ESCAPE.findall(line)) * 6 > 0.3 * n or sum(map(len, _MOJIBAKE.findall(line))) > 0.02 * n:
-        return True, False
-    if sum(map(len, _TAG.findall(line))) > 0.4 * n:
+    escapes, broken, tags, code = marks
+    if escapes * 6 > 0.3 * n or broken > 0.02 * n or tags > 0.4 * n:
         return True, False
-    tokens = line.split()
-    longest = max(map(len, tokens))
-    if longest >= 40 and not _LOCATION.fullmatch(max(tokens, key=len)) and longest > 0.4 * n:
+    longest = max(tokens, key=len)
+    if len(longest) >= 40 and len(longest) > 0.4 * n and not _LOCATION.fullmatch(longest):
         return True, False
     if len(set(line[:64])) <= 8 and _UNIT.fullmatch(line):
         return True, False
-    letters = sum(map(len, _WORD.findall(line)))
+    letters = sum(map(len, words))
     if n >= 12 and letters < 0.3 * n and sum(c.isdigit() for c in line) < 0.5 * n and not _BORDER.fullmatch(line):
         return True, False
-    if n >= 40 and _CODE_HINT.search(line) and len(_CODE.findall(line)) > n / 25:
+    if n >= 40 and code > n / 25:
         return True, False
-    words = _WORD.findall(line.lower())
     # Endless repetition: a handful of tokens, however long the line; a long text with few words of its own is not it.
-    if len(tokens) >= 6 and len({t.lower().strip(".,;!") for t in tokens}) <= min(3, len(tokens) / 4) and not _row_items(line):
+    if len(tokens) >= 6 and len(set(tokens)) <= len(tokens) / 3 and len({t.lower().strip(".,;!") for t in tokens}) <= min(3, len(tokens) / 4) and not _row_items(line):
         return True, False
-    common = sum(w in COMMON for w in words)
     if len(words) >= 5 and common < 0.1 * len(words):
-        if len(_VOWEL.findall(line)) < 0.3 * letters:
+        if _vowels(line) < 0.3 * letters:
             return True, False
-        marks = len(re.findall(r"[;,:|/•]\s|\t| {2,}", line))
-        if len(words) >= 10 and marks < len(tokens) / 8:
+        marked = len(re.findall(r"[;,:|/•]\s|\t| {2,}", line))
+        if len(words) >= 10 and marked < len(tokens) / 8:
             return True, True
     return False, False
 
@@ -110,9 +119,11 @@ def describe(text: str) -> list[float]:
     raw = [x for x in text.splitlines() if x.strip()]
     lines = [x.strip() for x in raw]
     m = len(lines)
-    lower = _WORD.findall(text.lower())
+    per_line = [_WORD.findall(x.lower()) for x in lines]
+    per_tokens = [x.split() for x in lines]
+    lower = [w for ws in per_line for w in ws]
+    tokens = [t for ts in per_tokens for t in ts]
     words = lower
-    tokens = text.split()
     letters = sum(map(len, words))
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     often = np.bincount(codes[(codes != 32) & (codes < 0x3000)], minlength=1)
@@ -123,6 +134,8 @@ def describe(text: str) -> list[float]:
     # Columns: the delimiter by which most characters lie in neighbouring lines with equally many cells, three at least.
     best, row = 0, [False] * m
     for mark, cut in _CELLS:
+        if mark not in text:
+            continue
         cells = [len([c for c in cut.split(x.strip("| ") if mark == "|" else x) if c != ""]) if mark in x else 0 for x in lines]
         wide = [len(x) / max(1, c) <= 40 for x, c in zip(lines, cells)]
         body = [i for i in range(m) if not _BORDER.fullmatch(lines[i])]
@@ -138,22 +151,25 @@ def describe(text: str) -> list[float]:
             continue
         if size > best:
             best, row = size, hit
-    pairs = [bool(_PAIR.fullmatch(x)) and not _DIRECTIVE.match(x) and not _BULLET.match(x) and not x.lower().startswith("http") and len(x.split()) <= 6 for x in lines]
+    pairs = [(":" in x or "=" in x) and len(x) <= 130 and bool(_PAIR.fullmatch(x)) and not _DIRECTIVE.match(x) and not _BULLET.match(x) and not x.lower().startswith("http") and len(x.split()) <= 6 for x in lines]
     n_pairs = sum(pairs)
+    marks = [_marks(x) for x in lines]
+    n_common = 0
     part = Counter()
     flags = Counter()
     short = [len(x.split()) <= 4 for x in lines]
     for i, x in enumerate(lines):
         size = len(x)
-        w = _WORD.findall(x.lower())
-        common = sum(t in COMMON for t in w)
+        w = per_line[i]
+        common = sum(1 for t in w if t in COMMON)
+        n_common += common
         if _SENTENCE_END.search(x):
             flags["sentence"] += 1
         bullet, place, rule = bool(_BULLET.match(raw[i])), bool(_LOCATION.fullmatch(x)), bool(_DIRECTIVE.match(x))
         flags["bullet"] += bullet
         flags["place"] += place
         flags["rule"] += rule
-        junk, salad = _is_junk(x)
+        junk, salad = _is_junk(x, per_tokens[i], w, common, marks[i])
         items = _row_items(x)
         flags["items"] += size * items
         if row[i]:
@@ -188,17 +204,17 @@ def describe(text: str) -> list[float]:
         symbols / n,
         int(_UPPER[codes[codes < 0x250]].sum()) / n,
         int((codes > 0x2FF).sum()) / n,
-        min(1.0, len(_ESCAPE.findall(text)) * 6 / n),
-        sum(map(len, _MOJIBAKE.findall(text))) / n,
-        sum(map(len, _TAG.findall(text))) / n,
-        min(1.0, len(_CODE.findall(text)) * 10 / n) if _CODE_HINT.search(text) else 0.0,
+        min(1.0, sum(k[0] for k in marks) * 6 / n),
+        sum(k[1] for k in marks) / n,
+        sum(k[2] for k in marks) / n,
+        min(1.0, sum(k[3] for k in marks) * 10 / n),
         int(often.max()) / max(1, n - text.count(" ")),
-        len(_VOWEL.findall(text)) / max(1, letters),
+        int(_IS_VOWEL[codes[codes < 0x250]].sum()) / max(1, letters),
         min(len(tokens) / m, 500),
         letters / max(1, len(words)),
         min(longest, 500),
         sum(len(t) for t in tokens if len(t) >= 40) / n,
-        sum(w in COMMON for w in lower) / max(1, len(words)),
+        n_common / max(1, len(words)),
         len(set(lower)) / max(1, len(words)),
         len(zlib.compress(data, 1)) / max(1, len(data)),
         flags["sentence"] / m,
@@ -364,17 +380,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text: Column, n_docs:
 
 def classified(docs: DataFrame, id_col: str, text: Column, model: Model) -> DataFrame:
     """doc_id, doc_class, probability of every text that is not blank."""
-    rows = spread(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), "doc_id")
-    found = vectors(rows, "doc_id", F.col("text"))
-    kind = found.schema["doc_id"].dataType.simpleString()
+    rows = spread(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.col("text").isNotNull()), "doc_id")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            p = model.probabilities(np.array(f["x"].tolist()).reshape(-1, len(NAMES)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            keep = [i for i, t in enumerate(texts) if t.strip()]
+            p = model.probabilities(np.array([describe(texts[i]) for i in keep]).reshape(-1, len(NAMES)))
             best = p.argmax(1)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "doc_class": [CLASSES[i] for i in best], "probability": p[np.arange(len(p)), best]})
+            names, sure = pa.array([CLASSES[i] for i in best], pa.string()), pa.array(p[np.arange(len(p)), best], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), names, sure], ["doc_id", "doc_class", "probability"])
 
-    return found.mapInPandas(run, f"doc_id {kind}, doc_class string, probability double")
+    return rows.mapInArrow(run, f"doc_id {kind}, doc_class string, probability double")
 
 
 def statistics(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
