@@ -45,7 +45,7 @@ PLACEHOLDER = re.compile(
 #: What every placeholder has; most blocks have none of it.
 _PLACEHOLDER_HINT = re.compile(r"[{\[$%@*#<‹(]|__")
 _FILLER_HINT = re.compile(
-    r"\bhere\b|to follow|lorem|ipsum|\byour\b|replace|change this|story begins|tagline|in this space|dummy|sample|placeholder|filler|example|blindtext|texto de|texte provisoire|edit this",
+    r"\bhere\b|to follow|lorem|ipsum|\byour\b|\breplaced? (?:me|this|by|later|with)|to be replaced|ersetzt|change this|story begins|tagline|in this space|dummy|sample|placeholder|filler|example|blindtext|texto de|texte provisoire|edit this",
     re.I,
 )
 #: Words by which a sentence shows that it talks about a template instead of being one.
@@ -141,6 +141,10 @@ def is_filler(block: str) -> bool:
     if len(words) - len(single) in (1, 2) and len(single) < 2:
         return False
     rest = " ".join(single)
+    # A block of filler starts with filler; most others are told by their first sentence alone.
+    first = _SENTENCE.split(rest, maxsplit=1)[0]
+    if len(first) < len(rest) and re.search(r"\w", FILLER.sub(" ", first)) and not is_latin(first):
+        return False
     return not re.search(r"\w", FILLER.sub(" ", rest)) or is_latin(rest)
 
 
