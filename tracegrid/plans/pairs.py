@@ -15,7 +15,6 @@ from tracegrid.plans.features import _CELLS, _SITES, MIN
 from tracegrid.sources import observations as O
 
 Query = Callable[[SparkSession, str], DataFrame]
-WORDS = 300
 #: Signatures that this corpus can carry, beside the catalogue's.
 OWN = [("quill behind ostra", ["x-quill-link", "x-ostra-edge"], ["x-drova-id"]), ("fold with server", ["x-fold-hit", "server"], ["x-umbra-via", "x-vexlet-cache"])]
 
@@ -29,11 +28,11 @@ def cooccur_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cooccur_words(spark: SparkSession, sf: str) -> DataFrame:
-    return C.pairs(C.most_frequent(O.words(spark, sf), WORDS), MIN)
+    return C.pairs(O.words(spark, sf), MIN)
 
 
 def strong_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return C.strong(C.pairs(C.most_frequent(O.words(spark, sf), WORDS), MIN))
+    return C.strong(C.pairs(O.words(spark, sf), MIN))
 
 
 def pair_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,8 +94,6 @@ pp AS (SELECT a.feature AS f1, b.feature AS f2, a.nf AS n1, b.nf AS n2, count(*)
 pr AS (SELECT f1, f2, pp.n, n1, n2, round(pp.n / sz.n * 100, 6) AS freq_pct, round(pp.n / n1::DOUBLE, 6) AS p, round(pp.n / sz.n * ln(pp.n / sz.n / (n1 / sz.n * (n2 / sz.n))), 6) + 0 AS mi FROM pp, sz)"""
 
 
-_TOP = f"SELECT feature FROM (SELECT feature, count(DISTINCT site) AS k FROM obs GROUP BY 1 ORDER BY k DESC, feature LIMIT {WORDS})"
-_TABLE = "a, b, c, d, a + b + c + d AS t"
 _TESTS = """yt AS (SELECT *, (a + b) * (a + c) / t::DOUBLE AS e1, (a + b) * (b + d) / t::DOUBLE AS e2, (c + d) * (a + c) / t::DOUBLE AS e3, (c + d) * (b + d) / t::DOUBLE AS e4 FROM tb),
 ts AS (SELECT *, coalesce(pow(greatest(0, abs(a - e1) - .5), 2) / nullif(e1, 0), 0) + coalesce(pow(greatest(0, abs(b - e2) - .5), 2) / nullif(e2, 0), 0) + coalesce(pow(greatest(0, abs(c - e3) - .5), 2) / nullif(e3, 0), 0) + coalesce(pow(greatest(0, abs(d - e4) - .5), 2) / nullif(e4, 0), 0) AS x,
   coalesce(abs(a - e1) / nullif(sqrt((a + b)::DOUBLE * (a + c) * (b + d) * (c + d) / (t::DOUBLE * t * (t - 1))), 0), 0) AS z, t <= 100 OR least(e1, e2, e3, e4) < 5 AS small FROM yt),
@@ -121,8 +118,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "cooccur_pairs": f"WITH {_pairs(h)} SELECT {columns} FROM pr",
         "cooccur_orders": f"WITH {_pairs(o)} SELECT {columns} FROM pr",
-        "cooccur_words": f"WITH {_pairs(w, MIN, _TOP)} SELECT {columns} FROM pr",
-        "strong_pairs": f"WITH {_pairs(w, MIN, _TOP)} SELECT {columns} FROM pr WHERE mi > .1 AND p > .7 ORDER BY mi DESC, f1, f2 LIMIT 10",
+        "cooccur_words": f"WITH {_pairs(w)} SELECT {columns} FROM pr",
+        "strong_pairs": f"WITH {_pairs(w)} SELECT {columns} FROM pr WHERE mi > .1 AND p > .7 ORDER BY mi DESC, f1, f2 LIMIT 10",
         "pair_summary": f"WITH {_pairs(h)} SELECT count(*) AS pairs, count(*) FILTER (WHERE mi > .05) AS significant, round(avg(mi), 6) AS mean_mi, max(p) AS max_p FROM pr",
         "platform_pairs": f"""WITH {h}, {_SITES}, d AS (SELECT DISTINCT site, platform, feature FROM obs), pl AS (SELECT platform, count(*) AS np FROM sites GROUP BY 1 HAVING count(*) >= {MIN}),
 x AS (SELECT a.platform, a.feature AS f1, b.feature AS f2, count(*) AS n FROM d a JOIN d b ON a.site = b.site AND a.feature < b.feature GROUP BY ALL), y AS (SELECT *, sum(n) OVER (PARTITION BY f1, f2) AS anywhere FROM x)
