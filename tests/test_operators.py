@@ -73,6 +73,21 @@ def test_doubling_the_corpus_changes_no_frequency(spark):
     assert {tuple(r) for r in D.dense(obs).select(cols).collect()} == {tuple(r) for r in D.dense(twice).select(cols).collect()}
 
 
+def test_exclusive_groups_of_more_edges_than_a_list_holds(spark):
+    """450 features that all meet (101,025 edges) make one star; two stars and a pair beside it keep their order."""
+    found = spark.range(450).crossJoin(spark.range(450).withColumnRenamed("id", "j")).where("id < j")
+    found = found.selectExpr("format_string('m%03d', id) f1", "format_string('m%03d', j) f2", "1D freq_pct", "0.01D p")
+    few = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("d", "f"), ("y", "z")]
+    few = spark.createDataFrame([(x, y, 1.0, 0.01) for x, y in few] + [("a", "d", 6.0, 0.01), ("a", "e", 1.0, 0.5)], found.schema)
+    got = C.exclusive_groups(found.unionByName(few)).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["hub"], r["score"]), set()).add(r["feature"])
+    assert groups == {("a", 0.666667): {"a", "b", "c"}, ("d", 0.444444): {"d", "e", "f"}, ("m000", 0.997778): {f"m{i:03}" for i in range(450)}}
+    assert len(got) == 456
+    assert C.exclusive_groups(found.limit(0)).count() == 0
+
+
 def test_statistics(spark):
     one = spark.range(1).select(
         S.yates(*[F.lit(x) for x in (30, 10, 20, 40)]).alias("x"), S.binomial_p(F.lit(20), F.lit(200)).alias("p"), S.wilson_lower(F.lit(2), F.lit(3)).alias("w"), S.step_p(F.lit(5.0)).alias("s"), S.ratio(F.lit(1), F.lit(0)).alias("z")

@@ -6,12 +6,14 @@ of its features.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.functions import stats as S
-
-MOST_EDGES = 100_000
+from tracegrid.session import cut
 
 
 def most_frequent(obs: DataFrame, k: int) -> DataFrame:
@@ -90,29 +92,41 @@ def set_cosine(obs: DataFrame, k: int = 5) -> DataFrame:
     return found.select("f1", "f2", F.round(a / F.sqrt(F.col("n1") * F.col("n2")), 6).alias("cosine"), p.alias("p_value"))
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hub, feature of the greedy stars, from all (feature, neighbour) rows in order of the feature."""
+    seen: set[str] = set()
+
+    def star(f: str | None, near: list[str]) -> Iterator[pa.RecordBatch]:
+        free = [] if f in seen else [x for x in near if x not in seen]
+        if len(free) >= 2:
+            seen.update([f, *free])
+            yield pa.RecordBatch.from_pydict({"hub": [f] * (len(free) + 1), "feature": [f, *free]})
+
+    hub: str | None = None
+    near: list[str] = []
+    for b in batches:
+        for f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if f != hub:
+                yield from star(hub, near)
+                hub, near = f, []
+            near.append(x)
+    yield from star(hub, near)
+
+
 def exclusive_groups(found: DataFrame) -> DataFrame:
     """group_id, feature, score: greedy stars around features that rarely meet (under 5 % of sites and p < .1).
 
-    The order decides, so this is a loop over the edges in the driver; their number is checked first.
+    The order decides, so one task goes through the sorted adjacency as a stream; it holds the features seen and the
+    neighbours of one, never the edges. Groups are disjoint, so the edges inside them are counted by joins.
     """
-    edges = found.where("freq_pct < 5 and p < 0.1").select("f1", "f2").orderBy("f1", "f2").limit(MOST_EDGES + 1).collect()
-    if len(edges) > MOST_EDGES:
-        raise ValueError("too many edges for greedy groups; raise the thresholds")
-    near: dict[str, list[str]] = {}
-    for a, b in edges:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    seen: set[str] = set()
-    out = []
-    for f in sorted(near):
-        if f in seen or len(near[f]) < 2:
-            continue
-        group = [f, *[x for x in near[f] if x not in seen]]
-        if len(group) >= 3:
-            seen.update(group)
-            score = sum(sum(y in group for y in near[x]) for x in group) / len(group) / len(group)
-            out += [(len(out), f, x, round(score, 6)) for x in group]
-    return found.sparkSession.createDataFrame([(h, x, s) for _, h, x, s in out], "hub string, feature string, score double")
+    edges = cut(found.where("freq_pct < 5 and p < 0.1").select("f1", "f2"))
+    near = edges.unionByName(edges.select(F.col("f2").alias("f1"), F.col("f1").alias("f2")))
+    stars = cut(near.repartition(1).sortWithinPartitions("f1", "f2").mapInArrow(_stars, "hub string, feature string"))
+    a, b = stars.select("hub", F.col("feature").alias("f1")), stars.select("hub", F.col("feature").alias("f2"))
+    inner = edges.join(a, "f1").join(b, ["hub", "f2"]).groupBy("hub").agg(F.count(F.lit(1)).alias("inner"))
+    sizes = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).join(inner, "hub")
+    scores = sizes.select("hub", F.round(2 * F.col("inner") / F.col("size") / F.col("size"), 6).alias("score"))
+    return stars.join(scores, "hub").select("hub", "feature", "score")
 
 
 def cell_tests(cells: DataFrame, total: Column) -> DataFrame:
