@@ -126,6 +126,11 @@ def test_filler(text):
     assert residue.is_filler(text)
 
 
+@pytest.mark.parametrize("text", ["Lorem ipsum dolor. Sit amet consectetur adipiscing elit sed do eiusmod tempor.", "Lorem ipsum unde omnis iste. Sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."])
+def test_filler_told_by_the_whole_block(text):
+    assert residue.is_filler(text)
+
+
 @pytest.mark.parametrize("text", ["We compare the classic lorem ipsum with other filler that designers like to use.", "The page was moved in March.", "Bye bye", "", "La portada contradice una respuesta."])
 def test_no_filler(text):
     assert not residue.is_filler(text)

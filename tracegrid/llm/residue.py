@@ -141,10 +141,10 @@ def is_filler(block: str) -> bool:
     if len(words) - len(single) in (1, 2) and len(single) < 2:
         return False
     rest = " ".join(single)
-    # A block of filler starts with filler; most others are told by their first sentence alone.
+    # No phrase spans two sentences: if something is left of the first, only pseudo-Latin of the whole block remains possible.
     first = _SENTENCE.split(rest, maxsplit=1)[0]
-    if len(first) < len(rest) and re.search(r"\w", FILLER.sub(" ", first)) and not is_latin(first):
-        return False
+    if len(first) < len(rest) and re.search(r"\w", FILLER.sub(" ", first)):
+        return is_latin(rest)
     return not re.search(r"\w", FILLER.sub(" ", rest)) or is_latin(rest)
 
 
