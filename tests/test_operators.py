@@ -183,6 +183,15 @@ def test_edit_scripts():
     assert ("renamed", "x", "y") not in s({"x": "boolean"}, {"y": "boolean"}, {("x", "y"): (10, 6, 2)})
 
 
+def test_edit_scripts_are_the_cheapest_at_any_size():
+    # r1 fits a1 best, but r1 to a2 and r2 to a1 save more together; the other renames only make the mappings many.
+    for n in (0, 14, 60):
+        before, after = ({x: "string" for x in (*names, *(f"{c}{i:02}" for i in range(n)))} for c, names in (("x", ("r1", "r2")), ("y", ("a1", "a2"))))
+        seen = {("r1", "a1"): (100, 100, 99), ("r1", "a2"): (100, 90, 99), ("r2", "a1"): (100, 90, 99)} | {(f"x{i:02}", f"y{i:02}"): (9, 9, 9) for i in range(n)}
+        got = schema_drift.edit_script(before, after, seen)
+        assert sorted(got) == [("renamed", "r1", "a2"), ("renamed", "r2", "a1"), *(("renamed", f"x{i:02}", f"y{i:02}") for i in range(n))]
+
+
 def test_drift_of_a_feed(spark):
     import json
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from typing import Any
 
 import pandas as pd
@@ -31,7 +32,6 @@ from tracegrid.session import cut
 
 MIN_SHARE = 0.2
 MIN_AGREEMENT = 0.5
-MOST_MAPPINGS = 14
 OUTSIDE = ("url", "statusCode")
 #: Names under which header and metadata maps are known, in lower case without separators.
 MAP_NAMES = ("headers", "httpheaders", "responseheaders", "metadata", "meta", "metatags")
@@ -201,6 +201,76 @@ def _parents(path: str) -> list[str]:
         out.append(path)
 
 
+def _bits(m: int) -> Iterator[int]:
+    while m:
+        yield (m & -m).bit_length() - 1
+        m &= m - 1
+
+
+def _best(options: list[tuple], clashing: list[int]) -> list[tuple]:
+    """The options, best first, that save most together without a clash; ties go to the earlier. Sets are bits of a number.
+
+    Parts of the clash graph that do not touch are searched one by one; a search ends where cliques of what is left show
+    that it cannot save more. No number of options changes the method.
+    """
+
+    def parts(m: int) -> list[int]:
+        out = []
+        while m:
+            part, new = 0, m & -m
+            while new:
+                part |= new
+                near = 0
+                for i in _bits(new):
+                    near |= clashing[i]
+                new = near & m & ~part
+            out.append(part)
+            m &= ~part
+        return out
+
+    def most(m: int) -> float:
+        """No less than what m can save: prices of cliques, of which each option is paid for by those it is in."""
+        left = {i: options[i][0] for i in _bits(m)}
+        total = 0.0
+        while left:
+            i = min(left, key=left.__getitem__)
+            clique, price = [i], left[i]
+            near = clashing[i]
+            for k in sorted((k for k in left if near >> k & 1), key=left.__getitem__, reverse=True):
+                if near >> k & 1:
+                    clique.append(k)
+                    near &= clashing[k]
+            total += price
+            for k in clique:
+                left[k] -= price
+                if left[k] <= 1e-12:
+                    del left[k]
+        return total + 1e-9
+
+    @cache
+    def one(part: int) -> tuple[float, int]:
+        top, picked, rest = 0.0, 0, part
+        while rest and most(rest) > top:
+            i = next(_bits(rest))
+            rest ^= 1 << i
+            gain, others = best(rest & ~clashing[i])
+            if gain + options[i][0] > top:
+                top, picked = gain + options[i][0], others | 1 << i
+            if len(parts(rest)) > 1:
+                if most(rest) > top:
+                    gain, others = best(rest)
+                    if gain > top:
+                        top, picked = gain, others
+                break
+        return top, picked
+
+    def best(m: int) -> tuple[float, int]:
+        found = [one(p) for p in parts(m)]
+        return sum(g for g, _ in found), sum(c for _, c in found)
+
+    return [options[i] for i in _bits(best((1 << len(options)) - 1)[1])]
+
+
 def edit_script(before: dict[str, str], after: dict[str, str], seen: dict[tuple[str, str], tuple[int, int, int]]) -> list[tuple[str, str, str]]:
     """The cheapest script from one schema tree to the next as (kind, path, new path)."""
     retyped = [p for p in before if p in after and before[p] != after[p]]
@@ -242,25 +312,7 @@ def edit_script(before: dict[str, str], after: dict[str, str], seen: dict[tuple[
                     return True
         return False
 
-    def best(rest: list[tuple]) -> tuple[float, list[tuple]]:
-        if not rest:
-            return 0.0, []
-        head, tail = rest[0], rest[1:]
-        free = [o for o in tail if not clash(head, o)]
-        with_gain, with_set = best(free)
-        with_gain += head[0]
-        if len(free) == len(tail):
-            return with_gain, [head, *with_set]
-        without_gain, without_set = best(tail)
-        return (with_gain, [head, *with_set]) if with_gain >= without_gain else (without_gain, without_set)
-
-    if len(options) <= MOST_MAPPINGS:
-        chosen = best(options)[1]
-    else:
-        chosen = []
-        for o in options:
-            if not any(clash(o, c) for c in chosen):
-                chosen.append(o)
+    chosen = _best(options, [sum(1 << j for j, y in enumerate(options) if j != i and clash(x, y)) for i, x in enumerate(options)])
     out = [("retyped", p, "") for p in retyped] + [("renamed", r, a) for _, _, r, a in chosen]
     old, new = [c[2] for c in chosen], [c[3] for c in chosen]
     out += [("removed", p, "") for p in gone if p not in old and not any(_under(p, r) for r in old) and not any(q in gone for q in _parents(p))]
