@@ -174,6 +174,15 @@ def test_robots_residue(spark):
     assert sorted(r["owner_id"] for r in got.collect()) == [1, 2, 3, 11]
 
 
+def test_rules_are_content_on_hosts_of_any_size(spark):
+    import json
+
+    docs = ["User-agent: *\nDisallow: /x\nPage not found."] + ["User-agent: *\nDisallow: /x"] * 6 + ["Page not found."]
+    df = spark.createDataFrame([(i, "http://h.example/", json.dumps({"content": c})) for i, c in enumerate(docs)], "record_id long, url string, doc string")
+    got = residue.residue(residue.judged_robots(df, F.col("record_id"), F.col("url"), F.col("doc")))
+    assert [r["owner_id"] for r in got.collect()] == [7]
+
+
 # 7. Encoding
 
 

@@ -202,7 +202,7 @@ def judge(heads: list[str], blocks: list[str], comments: list[str], values: list
     return sure, [(b, is_message(b)) for b in dict.fromkeys(blocks)]
 
 
-_OUT = "owner_table string, owner_id bigint, host string, sure boolean, blocks array<struct<h:bigint,message:boolean>>"
+_OUT = "owner_table string, owner_id bigint, host string, sure boolean, rules boolean, blocks array<struct<h:bigint,message:boolean>>"
 _BLOCK = pa.struct([("h", pa.int64()), ("message", pa.bool_())])
 
 
@@ -217,22 +217,19 @@ def _host(url: str | None) -> str | None:
 
 
 def _judged(owner_table: str):
-    def one(row: dict) -> tuple[bool, list[tuple[str, bool]]]:
+    def one(row: dict) -> tuple[bool, list[tuple[str, bool]], bool]:
         if owner_table == "captures":
             heads, blocks, comments = html_blocks(row["text"]) if row["text"] else ([], [], [])
             meta = row["meta"] or []
             values = [_SPACE.sub(" ", html.unescape(v)).strip() for k, v in meta if v]
             heads = heads + [_SPACE.sub(" ", html.unescape(v)).strip() for k, v in meta if v and k and k.lower().split(":")[-1] == "title"]
-            return judge(heads, blocks, comments, values)
+            return *judge(heads, blocks, comments, values), False
         text = robots_text(row["text"])
         if not text:
-            return False, []
+            return False, [], False
         heads, blocks, comments = robots_blocks(text)
-        if any(_DIRECTIVE.match(x) for x in text.splitlines()):
-            # Rules are real content, so a message beside them is not the main one.
-            sure, own = judge(heads, blocks, comments, [])
-            return sure, [*own, ("rules", False)] if not sure else own
-        return judge(heads, blocks, comments, [])
+        # Rules are real content, so a message beside them is not the main one, however many neighbours have rules too.
+        return *judge(heads, blocks, comments, []), any(_DIRECTIVE.match(x) for x in text.splitlines())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,10 +240,11 @@ def _judged(owner_table: str):
                     pa.array([owner_table] * len(rows), pa.string()),
                     b.column(0),
                     pa.array([_host(r["url"]) for r in rows], pa.string()),
-                    pa.array([s for s, _ in found], pa.bool_()),
-                    pa.array([[{"h": _hash(t), "message": m} for t, m in x] for _, x in found], pa.list_(_BLOCK)),
+                    pa.array([s for s, _, _ in found], pa.bool_()),
+                    pa.array([r for _, _, r in found], pa.bool_()),
+                    pa.array([[{"h": _hash(t), "message": m} for t, m in x] for _, x, _ in found], pa.list_(_BLOCK)),
                 ],
-                ["owner_table", "owner_id", "host", "sure", "blocks"],
+                ["owner_table", "owner_id", "host", "sure", "rules", "blocks"],
             )
 
     return run
@@ -289,7 +287,7 @@ def residue(judged: DataFrame) -> DataFrame:
     """owner_table, owner_id of the records that hold residue, once each."""
     judged = cut(judged)
     sure = judged.where("sure").select("owner_table", "owner_id")
-    open_ = judged.where("not sure and exists(blocks, x -> x.message)")
+    open_ = judged.where("not sure and not rules and exists(blocks, x -> x.message)")
     all_ = open_.where("forall(blocks, x -> x.message)").select("owner_table", "owner_id")
     # Mixed records: a message beside other blocks. They are cases if all the others are boilerplate of the host.
     mixed = open_.where("exists(blocks, x -> not x.message)").select("owner_table", "owner_id", "host", F.explode("blocks").alias("b"))
