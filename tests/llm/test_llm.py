@@ -141,6 +141,12 @@ def test_messages(text):
     assert residue.is_message(text)
 
 
+@pytest.mark.parametrize("text", ["Traceback (most recent call last): " + "File a.py, line 3, in run. " * 40 + "ValueError: x", "Page not found. " * 40, "Fatal error: " + "call to f() " * 60 + "in /srv/a.php on line 3"])
+def test_messages_of_any_length(text):
+    assert len(text) > 400 and residue.is_message(text)
+    assert not residue.is_message("The harbour opens at nine. " * 40 + text)
+
+
 @pytest.mark.parametrize("text", ["The crawler logged “Page not found”, but nothing else.", "The error 404 counter fell by half once the old links were fixed.", "The band Internal Server plays in the old harbour on Friday.", "This site could not be matched to the rule.", "A lesson on JavaScript for people who want to enable their first button."])
 def test_no_messages(text):
     assert not residue.is_message(text)

@@ -150,12 +150,12 @@ def is_filler(block: str) -> bool:
 
 def is_message(block: str) -> bool:
     """Whether every sentence of a block is part of an error, outage, refusal or scripts-required message."""
-    if not block or len(block) > 400 or _QUOTES.search(block):
+    if not block or _QUOTES.search(block):
         return False
     whole = block.rstrip(" .!")
     if MESSAGE.fullmatch(whole):
         return True
-    sentences = [s.rstrip(" .!?") for s in _SENTENCE.split(block)]
+    sentences = (s.rstrip(" .!?") for s in _SENTENCE.split(block))
     return all(MESSAGE.fullmatch(s) for s in sentences if s)
 
 
