@@ -1,22 +1,20 @@
 """Per-document text statistics and the classes list, table and junk against prose.
 
-Each text is reduced to a fixed vector of statistics: shares of characters, words and lines, and the share of characters in
-lines that look like prose, list items, table rows or junk. Gradient-boosted trees are trained on the vectors of a bounded
-sample whose classes come from weak rules over the same statistics; their probabilities are then calibrated by vector
-scaling on a hand-checked holdout (the labelled documents), which takes no part in training the trees.
+Each text is reduced to a vector of statistics that name no language and no script (``textstats``). Gradient-boosted trees
+are trained on the vectors of a bounded sample. Their labels are weak: labelling functions (``weak``) that read the texts by
+rules of their own, none of which is an input of the trees, vote or abstain. The probabilities are then calibrated by vector
+scaling on a hand-checked holdout (labelled documents), which takes no part in training the trees.
 
 Bounds: at most ``SAMPLE`` vectors train the trees and at most ``HOLDOUT`` calibrate them; every document is scored.
 
 Defined cases: null, empty and blank texts have no class and give no row; a missing or null label is not used; without
-labels the probabilities stay as trained; ties go to prose, then in the order of ``CLASSES``; texts of any length are read
-whole; repeated rows are scored alike.
+labels the probabilities stay as trained, and without a text that the functions label all are prose; ties go to prose, then
+in the order of ``CLASSES``; texts of any length are read whole; repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,230 +22,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.llm import textstats, weak
 from tracegrid.llm.bpe import spread
+from tracegrid.llm.weak import CLASSES, COMMON
 
-CLASSES = ("prose", "list", "table", "junk")
-SAMPLE = 6_000
+SAMPLE = 8_000
 HOLDOUT = 3_000
-#: The most common words of the four languages, a few dozen each.
-COMMON = frozenset(
-    """the of and to in a is was for on that with as by at from it this an be are or which not had has have its but our we so if when after before no into
-    der die das und in zu den von mit auf ist war ein eine einer einem nicht für dem des im sich als auch an nach bis weil wie aus bei hat kam noch diese dieses zwei
-    de la que el en y a los se del las un por con no una su para es al lo como más pero fue dos este esta o hasta todavía sin sobre
-    le les des et à est en du une que pour dans qui pas ce au sur plus par ne se a été cette deux était bien jusqu son ses aux avec ou""".split()
-)
-_WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"\S+")
-_BULLET = re.compile(r"\s*(?:[-*•–—+·▪◦‣]\s+|\d{1,3}[.)]\s+|\[[ xX]?\]\s+|\([a-z0-9]{1,2}\)\s+)")
-_LOCATION = re.compile(r"\s*(?:https?://\S+|/[\w*./?=&%-]*)[.,;]?\s*")
-_PAIR = re.compile(r"\s*[\w.-]{1,40}\s*[:=]\s+\S.{0,80}")
-_DIRECTIVE = re.compile(r"\s*(?:user-agent|allow|disallow|sitemap|crawl-delay|host|noindex)\s*:", re.I)
-_BORDER = re.compile(r"[\s+|:=-]*[+|][\s+|:=-]*")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
-_CODE = re.compile(r"function\b|\bvar\b|\breturn\b|=>|[{}]|;(?=\S)|\)\s*\{|_0x[0-9a-f]+|[\w\])]\[|!0|\bdef\b|\bimport\b|&&|\|\|")
-_CODE_HINT = re.compile(r"[{}()\[\]=|&]")
-_ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|&#x?[0-9a-fA-F]+;|�")
-_MOJIBAKE = re.compile(r"Ã[\x80-\xbf¤¨©¼¶¡±³­ºŸ§]?|â€|Â[\xa0-\xbf]|Ð|Ñ[\x80-\xbf]")
-_BROKEN_HINT = re.compile(r"[ÃâÂÐÑ]")
-_IS_VOWEL = np.array([chr(i).lower() in "aeiouyàâäáãåèéêëìíîïòóôöõùúûüœæ" for i in range(0x250)])
-_SENTENCE_END = re.compile(r"[.!?…][\"'”»)]*\s*$")
-_UNIT = re.compile(r"(.{1,8}?)\1{5,}.{0,8}")
-_CELLS = (("\t", re.compile(r"\t")), ("|", re.compile(r"\s*\|\s*")), (";", re.compile(r";")), (",", re.compile(r",")), ("/", re.compile(r" / ")), ("  ", re.compile(r" {2,}")))
-_ITEMS = re.compile(r"\s*[;,•|·]\s*")
-
-_UPPER = np.array([chr(i).isupper() for i in range(0x250)])
-
-NAMES = (
-    "log_chars log_lines chars_per_line letters digits spaces symbols upper wide escapes mojibake tags code top_char vowels words_per_line word_length longest_token long_tokens "
-    "common distinct deflate sentence_lines bullets locations pairs directives columns items prose_part list_part table_part junk_part salad"
-).split()
-
-
-def _row_items(line: str) -> bool:
-    """Whether a line sets out short items one after another."""
-    parts = [p for p in _ITEMS.split(line.strip(" .;,")) if p]
-    if len(parts) < 3:
-        return False
-    words = [len(p.split()) for p in parts]
-    return max(words) <= 6 and sum(words) <= 3.2 * len(parts) and sum(w.lower() in COMMON for p in parts for w in p.split()) <= 0.15 * sum(words)
-
-
-def _marks(line: str) -> tuple[int, int, int, int]:
-    """Escapes, characters of broken encodings, characters of tags, and signs of code in a line."""
-    escapes = len(_ESCAPE.findall(line)) if "\\" in line or "\ufffd" in line or "&#" in line else 0
-    broken = sum(map(len, _MOJIBAKE.findall(line))) if _BROKEN_HINT.search(line) else 0
-    tags = sum(map(len, _TAG.findall(line))) if "<" in line else 0
-    return escapes, broken, tags, len(_CODE.findall(line)) if _CODE_HINT.search(line) else 0
-
-
-def _vowels(text: str) -> int:
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return int(_IS_VOWEL[codes[codes < 0x250]].sum())
-
-
-def _is_junk(line: str, tokens: list[str], words: list[str], common: int, marks: tuple[int, int, int, int]) -> tuple[bool, bool]:
-    """Whether a line is damaged, encoded, code or endless repetition; and whether it is words at random."""
-    n = len(line)
-    escapes, broken, tags, code = marks
-    if escapes * 6 > 0.3 * n or broken > 0.02 * n or tags > 0.4 * n:
-        return True, False
-    longest = max(tokens, key=len)
-    if len(longest) >= 40 and len(longest) > 0.4 * n and not _LOCATION.fullmatch(longest):
-        return True, False
-    if len(set(line[:64])) <= 8 and _UNIT.fullmatch(line):
-        return True, False
-    letters = sum(map(len, words))
-    if n >= 12 and letters < 0.3 * n and sum(c.isdigit() for c in line) < 0.5 * n and not _BORDER.fullmatch(line):
-        return True, False
-    if n >= 40 and code > n / 25:
-        return True, False
-    # Endless repetition: a handful of tokens, however long the line; a long text with few words of its own is not it.
-    if len(tokens) >= 6 and len(set(tokens)) <= len(tokens) / 3 and len({t.lower().strip(".,;!") for t in tokens}) <= min(3, len(tokens) / 4) and not _row_items(line):
-        return True, False
-    if len(words) >= 5 and common < 0.1 * len(words):
-        if _vowels(line) < 0.3 * letters:
-            return True, False
-        marked = len(re.findall(r"[;,:|/•]\s|\t| {2,}", line))
-        if len(words) >= 10 and marked < len(tokens) / 8:
-            return True, True
-    return False, False
-
-
-def describe(text: str) -> list[float]:
-    """The statistics of a text that is not blank, in the order of NAMES."""
-    n = len(text)
-    raw = [x for x in text.splitlines() if x.strip()]
-    lines = [x.strip() for x in raw]
-    m = len(lines)
-    per_line = [_WORD.findall(x.lower()) for x in lines]
-    per_tokens = [x.split() for x in lines]
-    lower = [w for ws in per_line for w in ws]
-    tokens = [t for ts in per_tokens for t in ts]
-    words = lower
-    letters = sum(map(len, words))
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    often = np.bincount(codes[(codes != 32) & (codes < 0x3000)], minlength=1)
-    digits = int(((codes >= 48) & (codes < 58)).sum())
-    spaces = n - sum(map(len, tokens))
-    longest = max(map(len, tokens))
-    data = text.encode("utf-8", "replace")
-    # Columns: the delimiter by which most characters lie in neighbouring lines with equally many cells, three at least.
-    best, row = 0, [False] * m
-    for mark, cut in _CELLS:
-        if mark not in text:
-            continue
-        cells = [len([c for c in cut.split(x.strip("| ") if mark == "|" else x) if c != ""]) if mark in x else 0 for x in lines]
-        wide = [len(x) / max(1, c) <= 40 for x, c in zip(lines, cells)]
-        body = [i for i in range(m) if not _BORDER.fullmatch(lines[i])]
-        hit = [False] * m
-        for a, b in zip(body, body[1:]):
-            if cells[a] == cells[b] >= 3 and wide[a] and wide[b] and not _BULLET.match(lines[a]):
-                hit[a] = hit[b] = True
-        if mark in ("|",) and any(hit):
-            hit = [h or bool(_BORDER.fullmatch(x)) for h, x in zip(hit, lines)]
-        size = sum(len(x) for x, h in zip(lines, hit) if h)
-        # Commas and semicolons with blanks set out items in running text; as columns they stand close.
-        if mark in ",;" and size and sum(x.count(mark + " ") for x, h in zip(lines, hit) if h) > 0.5 * sum(x.count(mark) for x, h in zip(lines, hit) if h):
-            continue
-        if size > best:
-            best, row = size, hit
-    pairs = [(":" in x or "=" in x) and len(x) <= 130 and bool(_PAIR.fullmatch(x)) and not _DIRECTIVE.match(x) and not _BULLET.match(x) and not x.lower().startswith("http") and len(x.split()) <= 6 for x in lines]
-    n_pairs = sum(pairs)
-    marks = [_marks(x) for x in lines]
-    n_common = 0
-    part = Counter()
-    flags = Counter()
-    short = [len(x.split()) <= 4 for x in lines]
-    for i, x in enumerate(lines):
-        size = len(x)
-        w = per_line[i]
-        common = sum(1 for t in w if t in COMMON)
-        n_common += common
-        if _SENTENCE_END.search(x):
-            flags["sentence"] += 1
-        bullet, place, rule = bool(_BULLET.match(raw[i])), bool(_LOCATION.fullmatch(x)), bool(_DIRECTIVE.match(x))
-        flags["bullet"] += bullet
-        flags["place"] += place
-        flags["rule"] += rule
-        junk, salad = _is_junk(x, per_tokens[i], w, common, marks[i])
-        items = _row_items(x)
-        flags["items"] += size * items
-        if row[i]:
-            kind = "table"
-        elif pairs[i] and n_pairs >= 2:
-            kind = "table"
-        elif bullet or place or rule:
-            kind = "list"
-        elif junk and not (items and salad):
-            kind = "junk"
-            flags["salad"] += size * salad
-        elif items:
-            kind = "list"
-        elif len(w) >= 4 and common >= 0.15 * len(w):
-            kind = "prose"
-        elif short[i] and m >= 3 and common == 0 and ((i and short[i - 1]) or (i + 1 < m and short[i + 1])):
-            kind = "list"
-        elif len(w) >= 4:
-            kind = "prose"
-        else:
-            kind = "other"
-        part[kind] += size
-    total = sum(map(len, lines))
-    symbols = n - letters - digits - spaces
-    return [
-        np.log1p(n),
-        np.log1p(m),
-        min(n / m, 2000),
-        letters / n,
-        digits / n,
-        spaces / n,
-        symbols / n,
-        int(_UPPER[codes[codes < 0x250]].sum()) / n,
-        int((codes > 0x2FF).sum()) / n,
-        min(1.0, sum(k[0] for k in marks) * 6 / n),
-        sum(k[1] for k in marks) / n,
-        sum(k[2] for k in marks) / n,
-        min(1.0, sum(k[3] for k in marks) * 10 / n),
-        int(often.max()) / max(1, n - text.count(" ")),
-        int(_IS_VOWEL[codes[codes < 0x250]].sum()) / max(1, letters),
-        min(len(tokens) / m, 500),
-        letters / max(1, len(words)),
-        min(longest, 500),
-        sum(len(t) for t in tokens if len(t) >= 40) / n,
-        n_common / max(1, len(words)),
-        len(set(lower)) / max(1, len(words)),
-        len(zlib.compress(data, 1)) / max(1, len(data)),
-        flags["sentence"] / m,
-        flags["bullet"] / m,
-        flags["place"] / m,
-        n_pairs / m,
-        flags["rule"] / m,
-        best / total,
-        flags["items"] / total,
-        part["prose"] / total,
-        part["list"] / total,
-        part["table"] / total,
-        part["junk"] / total,
-        flags["salad"] / total,
-    ]
-
-
-_AT = {k: i for i, k in enumerate(NAMES)}
-
-
-def weak_class(x: np.ndarray) -> np.ndarray:
-    """The class by rule of each vector: that of most of the text; -1 where no rule is sure."""
-    parts = np.stack([x[:, _AT[f"{c}_part"]] for c in CLASSES], 1)
-    order = np.sort(parts, 1)
-    out = parts.argmax(1)
-    return np.where((order[:, -1] >= 0.45) & (order[:, -1] - order[:, -2] >= 0.1), out, -1)
+#: One weakly labelled text of prose in so many also trains in its variants.
+VARIED = 4
+NAMES = textstats.NAMES
 
 
 class Trees:
     """Gradient-boosted trees for several classes over binned features (softmax loss, second-order leaves)."""
 
-    def __init__(self, rounds: int = 30, depth: int = 4, rate: float = 0.3, bins: int = 48, ridge: float = 1.0) -> None:
-        self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
+    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0, bag: float = 0.5) -> None:
+        self.rounds, self.depth, self.rate, self.bins, self.ridge, self.bag = rounds, depth, rate, bins, ridge, bag
 
     def fit(self, x: np.ndarray, y: np.ndarray, k: int) -> Trees:
         n, d = x.shape
@@ -259,13 +49,16 @@ class Trees:
         one = np.eye(k)[y]
         width = self.bins
         flat = b + np.arange(d) * width
+        rng = np.random.default_rng(n)
         for _ in range(self.rounds):
             p = softmax(score)
             grown = []
+            # Each round grows its trees on a part of the rows; all rows then move by them.
+            bag = np.flatnonzero(rng.random(n) < self.bag) if n > 1000 else np.arange(n)
             for c in range(k):
                 g, h = p[:, c] - one[:, c], np.maximum(p[:, c] * (1 - p[:, c]), 1e-6)
-                tree, leaf = self._grow(flat, b, g, h, d, width)
-                score[:, c] += leaf
+                tree = self._grow(flat[bag], b[bag], g[bag], h[bag], d, width)
+                score[:, c] += self._walk(tree, b)
                 grown.append(tree)
             self.trees.append(grown)
         return self
@@ -303,19 +96,22 @@ class Trees:
         size = 2 ** (self.depth + 1)
         gs, hs = np.bincount(node, g, minlength=size), np.bincount(node, h, minlength=size)
         value = -self.rate * gs / (hs + self.ridge)
-        return (feature, at, value), value[node]
+        return feature, at, value
+
+    def _walk(self, tree: tuple, b: np.ndarray) -> np.ndarray:
+        feature, at, value = tree
+        node, rows = np.zeros(len(b), np.int64), np.arange(len(b))
+        for _ in range(self.depth):
+            f = feature[node]
+            node = np.where(f >= 0, 2 * node + 1 + (b[rows, np.maximum(f, 0)] > at[node]), node)
+        return value[node]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         b = self._bin(x)
-        rows = np.arange(len(x))
         out = np.tile(self.base, (len(x), 1))
         for grown in self.trees:
-            for c, (feature, at, value) in enumerate(grown):
-                node = np.zeros(len(x), np.int64)
-                for _ in range(self.depth):
-                    f = feature[node]
-                    node = np.where(f >= 0, 2 * node + 1 + (b[rows, np.maximum(f, 0)] > at[node]), node)
-                out[:, c] += value[node]
+            for c, tree in enumerate(grown):
+                out[:, c] += self._walk(tree, b)
         return out
 
 
@@ -338,44 +134,57 @@ def calibrate(scores: np.ndarray, y: np.ndarray, k: int, steps: int = 300) -> tu
 
 
 class Model:
-    """Trees with the calibration of their probabilities."""
+    """Trees with the calibration of their probabilities. y and held_y: indices of classes, -1 for none."""
 
-    def __init__(self, x: np.ndarray, held: np.ndarray, held_y: np.ndarray) -> None:
-        y = weak_class(x)
-        self.trees = Trees().fit(x[y >= 0], y[y >= 0], len(CLASSES))
-        self.scale, self.shift = calibrate(self.trees.scores(held), held_y, len(CLASSES)) if len(held_y) else (np.ones(len(CLASSES)), np.zeros(len(CLASSES)))
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, held_y: np.ndarray) -> None:
+        k = len(CLASSES)
+        self.trees = Trees().fit(x[y >= 0], y[y >= 0], k) if (y >= 0).any() else None
+        self.scale, self.shift = np.ones(k), np.zeros(k)
+        if self.trees and (held_y >= 0).any():
+            self.scale, self.shift = calibrate(self.trees.scores(held[held_y >= 0]), held_y[held_y >= 0], k)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
+        if not self.trees:
+            return np.tile(np.eye(len(CLASSES))[0], (len(x), 1))
         return softmax(self.trees.scores(x) * self.scale + self.shift)
 
 
-def vectors(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """doc_id and x: the statistics of every text that is not blank."""
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.col("text").isNotNull())
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def vectors(rows: DataFrame) -> DataFrame:
+    """doc_class, x, weak of every row (text, doc_class) whose text is not blank, and of variants of weakly labelled prose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            keep = [i for i, t in enumerate(texts) if t.strip()]
-            x = pa.array([describe(texts[i]) for i in keep], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), x], ["doc_id", "x"])
+            texts = b.column(0).to_pylist()
+            keep = [i for i, t in enumerate(texts) if t and t.strip()]
+            kept = [texts[i] for i in keep]
+            classes = b.column(1).take(pa.array(keep, pa.int64())).to_pylist()
+            # A labelled text calibrates and does not train.
+            y = [weak.label(t) if c is None else -1 for t, c in zip(kept, classes, strict=True)]
+            more = [v for t, k in zip(kept, y, strict=True) if k == 0 and zlib.crc32(t.encode("utf-8", "replace")) % VARIED == 0 for v in weak.varied(t)]
+            x = pa.array(list(textstats.statistics(kept + more)), pa.list_(pa.float64()))
+            y += [0] * len(more)
+            yield pa.RecordBatch.from_arrays([pa.array(classes + [None] * len(more), pa.string()), x, pa.array(y, pa.int32())], ["doc_class", "x", "weak"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return rows.select("text", "doc_class").mapInArrow(run, "doc_class string, x array<double>, weak int")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text: Column, n_docs: int) -> Model:
-    """The model of a corpus. What reaches the driver are SAMPLE + HOLDOUT vectors at most, picked by a hash of the id."""
+    """The model of a corpus, from one pass over it.
+
+    What reaches the driver are SAMPLE + 2 * HOLDOUT vectors and their variants at most. Both are picked by a hash of the id and, in that
+    order, cut to the bound, so they are the same for any partitioning.
+    """
     every = max(1, -(-n_docs // SAMPLE))
-    part = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    # Ordered by the hash, so that the bound holds and the sample is the same for any partitioning.
-    rows = vectors(spread(part, "doc_id"), "doc_id", F.col("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
-    x = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))
-    known = labels.where(F.col("doc_class").isin(*CLASSES)).select(F.col(id_col).alias("_id"), "doc_class").orderBy(F.xxhash64("_id"), "_id").limit(HOLDOUT)
-    held = docs.join(known, docs[id_col] == known["_id"]).select(F.struct(docs[id_col], "doc_class").alias("k"), text.alias("text"))
-    held = vectors(held.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism), "k", F.col("text")).limit(2 * HOLDOUT).collect()
-    hx = np.array([r["x"] for r in held]).reshape(-1, len(NAMES))
-    return Model(x, hx, np.array([CLASSES.index(r["doc_id"]["doc_class"]) for r in held], np.int64))
+    known = labels.where(F.col("doc_class").isin(*CLASSES)).select(F.col(id_col).alias("_id"), "doc_class").orderBy(F.xxhash64("_id"), "_id", "doc_class").limit(HOLDOUT)
+    rows = docs.select(F.col(id_col).alias("_doc"), text.alias("text")).where("text is not null").withColumn("sampled", F.pmod(F.xxhash64("_doc"), F.lit(every)) == 0)
+    # The labels are bounded by HOLDOUT, so they may be broadcast.
+    rows = rows.join(F.broadcast(known), F.col("_doc") == F.col("_id"), "left").where("sampled or doc_class is not null")
+    picked = rows.orderBy(F.xxhash64("_doc"), "_doc", F.md5("text")).limit(SAMPLE + 2 * HOLDOUT).select("text", "doc_class", "_doc")
+    found = vectors(spread(picked, "_doc")).collect()
+    x = np.array([r["x"] for r in found]).reshape(-1, len(NAMES))
+    y = np.array([r["weak"] for r in found], np.int64)
+    held = np.array([CLASSES.index(r["doc_class"]) if r["doc_class"] else -1 for r in found], np.int64)
+    return Model(x, y, x, held)
 
 
 def classified(docs: DataFrame, id_col: str, text: Column, model: Model) -> DataFrame:
@@ -387,7 +196,7 @@ def classified(docs: DataFrame, id_col: str, text: Column, model: Model) -> Data
         for b in batches:
             texts = b.column(1).to_pylist()
             keep = [i for i, t in enumerate(texts) if t.strip()]
-            p = model.probabilities(np.array([describe(texts[i]) for i in keep]).reshape(-1, len(NAMES)))
+            p = model.probabilities(textstats.statistics([texts[i] for i in keep]))
             best = p.argmax(1)
             names, sure = pa.array([CLASSES[i] for i in best], pa.string()), pa.array(p[np.arange(len(p)), best], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), names, sure], ["doc_id", "doc_class", "probability"])
