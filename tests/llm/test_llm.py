@@ -152,6 +152,43 @@ def test_no_messages(text):
     assert not residue.is_message(text)
 
 
+# Wording of which none is in the tables.
+MESSAGES = ["Error 503: Backend fetch failed","We couldn't find that page","Sorry! The page you requested was not found.","This webpage is not available","Oops! That page can't be found.","Our servers are currently overloaded. Please try again in a few minutes.","You are not authorized to view this page.","Application error: a client-side exception has occurred","Temporarily closed for maintenance","Our online shop is undergoing maintenance and will be back shortly.","This content isn't available right now","Please turn JavaScript on and reload the page.","For full functionality of this site it is necessary to enable JavaScript.","This page requires JavaScript to work properly.","JavaScript is turned off in your browser","Unable to connect to the database server","Connection refused","The request was blocked by the security system","Your IP address has been banned","The link you followed may be broken, or the page may have been removed.","This listing has been deleted","Seite existiert nicht mehr","Zugriff verweigert","Accès refusé. Vous n'avez pas la permission.","Página no disponible temporalmente","Warning: Undefined variable $x in /var/www/a.php on line 4","java.lang.NullPointerException at com.a.B.run(B.java:10)","408 Request Timeout","The server encountered an internal error or misconfiguration and was unable to complete your request.","Complete the captcha to continue","DNS resolution error"]
+STAND_INS = ["Insert your headline here","Describe your service in a few words here.","Add text","Type your paragraph here","Content coming soon","Sample page","Dummy text for the sidebar","This is the default description.","Enter subtitle","Image caption goes here","Hier kommt Ihr Text","Ihre Überschrift hier","Texto de prueba","Contenu à venir","foo bar baz foo bar baz foo bar baz","aaa aaa aaa aaa","Lorem ipsum","Write your own story here","Change this text","Some placeholder copy"]
+VARIABLES = ["Welcome, {{user}}!","Price: ${price}","Hi #{name}","<%= @title %>","{title} | Shop","[Your Company]","%%FIRST%%","*|FNAME|*","{{ 'a' | translate }}","__TITLE__"]
+CONTENT = ["The mill was closed in 1950 and the building has since been restored by volunteers.","Errors in the first edition were corrected by the author.","Our team found the missing cat behind the bakery.","Scripts for the play are available from the theatre office.","The museum is not open on Mondays.","Permission to film was denied by the mayor.","We could not find a better cheese in the valley.","The bridge is temporarily closed because of the flood.","You can contact the office from nine to five.","Sample the local wine before you leave.","Add the flour, salt and butter and stir.","The text of the song is printed below.","Insert the key and turn it twice.","Please wait for the guide at the gate.","The request of the council was refused by the court.","This is an example of good bread.","A new page in the history of the town","The server brought the soup before the fish.","Edit photos with a free program","What to do if a page is not found","The dog in the picture is called {Bruno} by his friends.","Prices [in euros] include tax.","A guide to HTTP status codes","Fault lines run under the old harbour.","Service is slow but friendly, and the terrace is closed in winter."]
+
+
+def test_wording_that_no_table_has():
+    found = [sum(residue.evidence.of_block(x, True) & bit > 0 for x in xs) / len(xs) for xs, bit in ((MESSAGES, 4), (STAND_INS, 2), (VARIABLES, 1))]
+    assert min(found) >= 0.95
+    assert [x for x in CONTENT if residue.evidence.of_block(x, True)] == []
+
+
+def test_hints_miss_nothing():
+    for x in MESSAGES + STAND_INS + VARIABLES + CONTENT:
+        whole = residue.is_placeholder(x) * 1 | residue.is_filler(x) * 2 | residue.evidence.is_title_message(x) * 4
+        assert residue.evidence.of_block(x, True) == whole
+
+
+def test_pages_are_cut_in_one_pass():
+    page = "<title>A &amp; b</title><!-- note --><nav>menu</nav><p>one <b>two</b>\n\nthree</p><script>if (a < b) { {{x}} }</script><style>p{}</style><p>1 < 2 <your NAME> <%= x %></p><noscript>enable it</noscript><h2>Head</h2><footer>end</footer><code>{{y}}</code>"
+    assert residue.html_blocks(page) == (["A & b", "Head"], ["one two", "three", "1 < 2 ‹your NAME> <%= x %>".replace("NAME>", "NAME›")], ["note"])
+    assert residue.html_blocks("<noscript>only this</noscript>") == ([], ["only this"], []) and residue.html_blocks("no tags") == ([], ["no tags"], []) and residue.html_blocks("<script>open") == ([], [], [])
+
+
+def test_the_residual_decides(spark):
+    """A heading, a variable and a message that recur on a host are its boilerplate; elsewhere they decide."""
+    kind = "capture_id long, url string, meta map<string,string>, html string"
+    page = "<h2>Not found</h2><p>Powered by {{ engine }}</p><p>Story number %s of the harbour</p>"
+    rows = [(i, "http://h.example/", None, page % "".join(chr(97 + int(c)) for c in str(i))) for i in range(8)]
+    rows += [(20, "http://h.example/", None, page % "x" + "<p>Hello {{ name }}</p>"), (21, "http://small.example/", None, page % "y")]
+    df = spark.createDataFrame(rows, kind)
+    judged = residue.judged_captures(df, F.col("capture_id"), F.col("url"), F.col("meta"), F.col("html"))
+    assert {(r["owner_id"], r["reason"]) for r in residue.verdicts(judged).collect()} == {(20, "placeholder"), (21, "placeholder")}
+    assert residue.boilerplate(judged).count() == 2
+
+
 def test_residue_with_boilerplate(spark):
     page = "<html><head><title>{t}</title></head><body>{b}</body></html>"
     kind = "capture_id long, url string, meta map<string,string>, html string, owner_id string"
@@ -167,6 +204,7 @@ def test_residue_with_boilerplate(spark):
     df = spark.createDataFrame(rows, kind)
     judged = residue.judged_captures(df, F.col("capture_id"), F.col("url"), F.col("meta"), F.col("html"))
     assert sorted(r["owner_id"] for r in residue.residue(judged).collect()) == [100, 103, 104, 107]
+    assert {(r["owner_id"], r["reason"], r["subtracted"]) for r in residue.verdicts(judged).collect()} == {(100, "page", True), (103, "page", False), (104, "placeholder", False), (107, "filler", False)}
     assert residue.residue(judged.limit(0)).count() == 0
 
 

@@ -69,6 +69,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(_judged(spark, sf))
 
 
+def p6_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many records each kind of evidence in the residual decides, and for how many boilerplate had to go first."""
+    found = residue.verdicts(_judged(spark, sf)).distinct()
+    return found.groupBy("owner_table", "reason").agg(F.count(F.lit(1)).alias("records"), F.count_if("subtracted").alias("after_subtracting"))
+
+
 def p6_boilerplate(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks that recur on a host, by hash: what is subtracted before a record is judged."""
     return residue.boilerplate(_judged(spark, sf))
@@ -116,7 +122,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts, p6_found, p6_boilerplate, p7_ids, p8_packed, p8_fill, p9_found, p9_classes, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts, p6_found, p6_verdicts, p6_boilerplate, p7_ids, p8_packed, p8_fill, p9_found, p9_classes, p9_statistics)}
 
 
 _CANONICAL = r"""

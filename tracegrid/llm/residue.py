@@ -1,21 +1,23 @@
 """Records that hold template residue, filler or an error page instead of content.
 
-A record is cut into blocks (title, headings, paragraphs, comments, metadata values). Normalised blocks are counted by
-host; those that recur on the host are boilerplate and are subtracted, which leaves the residual: what this record says
-and its neighbours do not. Evidence is looked for as follows.
+A record is cut into blocks (titles and headings, paragraphs, comments, metadata values), each normalised and hashed. Blocks
+are counted by host over all records; those that recur there are boilerplate and are subtracted, in every role. What is left
+is the residual: what this record says and its neighbours do not. The residual decides:
 
-* placeholder: an unfilled template variable in a title, value, paragraph or comment, unless its sentence explains it.
-* filler: a block of which nothing is left once stock filler phrases, repeated words and pseudo-Latin are taken away.
-* error, outage, refusal, scripts required: sentences that say so, as the whole title or heading, or as all of the
-  residual. A quoted message, a longer sentence about one, and a notice in ``noscript`` beside content are no evidence.
+* placeholder or filler in any block of it;
+* an error, outage, refusal or scripts-required message as a title or heading of it;
+* such messages as all of its paragraphs.
 
-Cutting and matching need nested context that SQL functions cannot see, so they run in Python over Arrow batches; counting
-and subtracting are joins on 64-bit hashes of blocks. The only blocks joined are those of records whose verdict depends
-on boilerplate.
+What is evidence in a block is told by ``evidence``. A notice in ``noscript`` beside content and rules of a robots file are
+content, so a message beside them is not all that the record says.
+
+Cutting and judging need nested context that SQL functions cannot see, so they run in Python over Arrow batches; counting
+and subtracting are joins on 64-bit hashes of blocks. A record without evidence in any block is no case whatever recurs, so
+only the others meet the counts.
 
 Defined cases: null and unreadable records, null and empty containers hold no residue; rows repeated in full are one
-owner; a record whose blocks all recur keeps them as its residual; very long texts are cut into blocks like others; a null
-host is a host of its own.
+owner; a record whose blocks all recur keeps them as its residual; texts of any length are read whole; a null host is a
+host of its own.
 """
 
 from __future__ import annotations
@@ -30,221 +32,163 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.llm import evidence
+from tracegrid.llm.evidence import FILLER_BIT, MESSAGE_BIT, PLACEHOLDER_BIT, is_filler, is_message, is_placeholder  # noqa: F401
 from tracegrid.session import cut
 
 RECURS_ON = 5
 RECURS_SHARE = 0.2
-
-_VAR = r"[\w][\w.\-:]*"
-PLACEHOLDER = re.compile(
-    rf"\{{\{{-?\s*{_VAR}(?:\s*\|[^{{}}]*)?\s*-?\}}\}}|\$\{{\s*{_VAR}\s*\}}|\{{\$\s*{_VAR}\}}|#\{{\s*{_VAR}\s*\}}|\[\[\s*{_VAR}\s*\]\]|%%\s*{_VAR}\s*%%|@@\s*{_VAR}\s*@@"
-    rf"|\*\|\s*{_VAR}\s*\|\*|[<‹]%[-=]?\s*{_VAR}\s*-?%[>›]|\{{%-?\s*\w+\s[^%{{}}]*%\}}|[<‹]your [\w. ]{{1,40}}[>›]|\((?:your )?{_VAR}(?: \w+)? goes here\)"
-    rf"|\[insert [\w. ]{{1,40}}\]|\[{_VAR}(?: \w+)? (?:tbd|tba|here)\]|(?<!\w)__[a-z][\w.]*?__(?!\w)",
-    re.I,
-)
-#: What every placeholder has; most blocks have none of it.
-_PLACEHOLDER_HINT = re.compile(r"[{\[$%@*#<‹(]|__")
-_FILLER_HINT = re.compile(
-    r"\bhere\b|to follow|lorem|ipsum|\byour\b|\breplaced? (?:me|this|by|later|with)|to be replaced|ersetzt|change this|story begins|tagline|in this space|dummy|sample|placeholder|filler|example|blindtext|texto de|texte provisoire|edit this",
-    re.I,
-)
-#: Words by which a sentence shows that it talks about a template instead of being one.
-EXPLAINS = re.compile(
-    r"\b(?:example|shows? how|explain\w*|filled in|fills? in|templates?|template engine|placeholders?|variables?|syntax|the tool|letter|write|type|puts? in|replac\w+|stands? for|documentation|guide|tutorial|manual|called|named|such as|expression|notation|means)\b",
-    re.I,
-)
-_THING = r"[\w'-]+(?:\.[\w'-]+)*(?: [\w'-]+(?:\.[\w'-]+)*){0,2}"
-FILLER = re.compile(
-    rf"(?:second )?{_THING} goes here(?:, two or three lines)?|your {_THING} (?:goes )?here|your {_THING} in one short line|{_THING} to follow|this is an? (?:example|sample) {_THING}"
-    rf"|(?:edit|replace|change) this {_THING} (?:in the settings|with your own)|replace me|this is where your story begins|just another site tagline|type something about yourself in this space"
-    rf"|write a short {_THING} for your visitors here|(?:add|put|write) your own (?:words|text) here|(?:dummy|sample|placeholder|filler) (?:copy|text|content)(?: for this \w+)?(?:, (?:please ignore|to be replaced later))?"
-    r"|blindtext, wird noch ersetzt|texto de ejemplo para rellenar|ceci est un texte provisoire|lorem ipsum",
-    re.I,
-)
-_LATIN_STEM = r"(?:adi|ali|am|cona|con|dolo?r?|elit|enim|exer|inc|lab|mag|min|nost|or|pis|qua|sect|sed|sit|temp|ut|ven)"
-_LATIN_END = r"(?:us|um|am|is|it|et|or|ore|a|e|ium|ius|adi|ora|re)?"
-LATIN = re.compile(rf"(?:{_LATIN_STEM}+{_LATIN_END}|lorem|loremus|ipsum|ipsa|situs|incididunt|consectetur|adipiscing|eiusmod|aliqua|veniam|quis|nostrud|exercitation|ullamco|nisi|aliquip|ex|ea|commodo|consequat|duis|aute|irure|in|reprehenderit|voluptate|velit|esse|cillum|eu|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat|non|proident|sunt|culpa|qui|officia|deserunt|mollit|anim|id|est|do|et|ac|vitae|nec|vel)", re.I)
-
-_SUBJECT = r"(?:the|this|that|your|our)? ?(?:requested )?(?:page|document|file|article|product|address|resource|item|url|content|link|entry|site|map|shop)"
-_WHERE = r"(?: (?:you (?:asked for|requested|were looking for|are looking for)|behind this link|in your bookmark|at this address))?"
-_ERROR = [
-    rf"{_SUBJECT}{_WHERE} (?:is gone|is no longer (?:here|available)|does(?: not|n't) exist|has expired|has been (?:removed|deleted|moved)|(?:could|can)(?: ?not|n't) be found|(?:was|is) not found|(?:is|was) (?:unavailable|missing))",
-    r"(?:(?:http|error|status|code|fault|fehler|erreur)[ :#-]*[1-5]\d\d)(?:\s*[-–—|:]?\s*[\w ',-]{1,50})?",
-    r"[1-5]\d\d\s*[-–—|:]?\s*(?:(?:internal )?server (?:error|fault)|page not found|not found|forbidden|gone|bad (?:request|gateway)|nothing lives at this address|service (?:temporarily )?unavailable|unauthorized|too many requests|gateway [\w ]+|time ?(?:limit|out)[\w ]*|no such file|moved permanently)",
-    r"(?:page|file|document|article) not found|not found|internal server error|bad (?:gateway|request)(?:: [\w ]+)?|gateway time-?out|service (?:temporarily )?unavailable|forbidden|server fault",
-    r"access (?:to [\w ]+ )?(?:is |was |has been )?(?:denied|refused|blocked)|you (?:do not|don't) have permission to [\w ]+|reference [\w#-]+|code \d+",
-    r"too many requests(?: [\w ,]+)?|this account has been (?:suspended|disabled|closed)|directory has no index and listing is off|(?:could not|cannot) reach the database|error establishing an? [\w ]*connection",
-    r"oops|(?:oops,? )?something went wrong(?: [\w ]+)?|sorry,? we (?:can't|cannot|couldn't|could not|can’t) find (?:what|the)[\w ]+|the server met an unexpected condition(?: [\w ]+)?|the address may have (?:changed|moved)",
-    r"traceback \(most recent call last\).*|(?:fatal error|parse error|warning|notice|uncaught (?:exception|error)|deprecated)\s*: .* (?:on line \d+|in /\S+.*)",
-    r"cette page est introuvable|diese seite gibt es (?:leider )?nicht(?: mehr)?|no hemos encontrado esta página|(?:die )?seite (?:wurde )?nicht gefunden|página no encontrada|page (?:non trouvée|introuvable)",
-]
-_OUTAGE = [
-    r"(?:(?:the|this|our) (?:site|shop|portal|page|store|service|website|server|map)|we) (?:is|are) (?:currently |temporarily )?(?:down|offline|closed|unavailable|being updated|under maintenance|undergoing maintenance)(?:[\w ]*)(?:, back soon)?",
-    r"(?:please )?(?:come back|try again)(?: [\w ]+)?|thank you for your patience|back soon|we(?:'ll| will) be back [\w ]+|down for maintenance|under maintenance",
-]
-_DO = r"(?:enable|activate|allow|switch on|turn on|permit)"
-_JS = r"(?:js|java ?scripts?|scripts?|scripting)"
-_SCRIPT = [
-    rf"(?:(?:please|kindly|sorry,? (?:please |but )?(?:you )?(?:must |have to |need to )?(?:first)?|you (?:must|have to|need to|should)|first) )?{_DO} {_JS}\b.*",
-    rf"(?:please |kindly |you (?:must|have to|need to) )?(?:turn|switch) {_JS} on\b.*|{_JS} (?:must|needs? to|has to|have to) be (?:allowed|enabled|activated|switched on|turned on).*|{_JS} (?:is|are) (?:required|disabled|switched off|turned off).*",
-    rf"checking your browser|your browser (?:does not|doesn't) (?:run|support) {_JS}.*|(?:this|our|the) (?:app|site|page|shop|map) (?:only works|works only|requires|needs)(?: \w+)? {_JS}.*|{_JS} disabled(?:: [\w ]+)?",
-    r"javascript ist .*ausgeschaltet|bitte (?:javascript )?einschalten|bitte .*javascript.*(?:ein|aktiv).*|activa javascript.*|veuillez activer .*",
-]
-MESSAGE = re.compile("|".join(f"(?:{x})" for x in (*_ERROR, *_OUTAGE, *_SCRIPT)), re.I)
-_QUOTES = re.compile(r"[“”„«»]")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_SPACE = re.compile(r"[\s ]+")
-_DROPPED = re.compile(r"<(script|style|code|pre|template|svg)\b[^>]*>.*?</\1\s*>", re.I | re.S)
-_NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.I | re.S)
-_FRAME = re.compile(r"<(nav|footer)\b[^>]*>(.*?)</\1\s*>", re.I | re.S)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_HEADING = re.compile(r"<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>", re.I | re.S)
-_COMMENT = re.compile(r"<!--(.*?)-->", re.S)
-_TAG = re.compile(r"</?[a-z!][^<>]*>", re.I)
-_INLINE = re.compile(r"</?(?:a|b|i|em|strong|span|u|small|sup|sub|mark|abbr|q|cite)\b[^<>]*>", re.I)
-_GUARD = re.compile(r"<(%[^<>]*%|your [\w. ]{1,40})>", re.I)
+TITLE, PARAGRAPH, COMMENT, VALUE = range(4)
+
+_PIECE = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)[^<>]*>|<![^<>]*>", re.S)
+_BLANK_LINE = re.compile(r"\n\s*\n")
+_SKIPPED = frozenset("script style code pre template svg textarea".split())
+_INLINE = frozenset("a b i em strong span u small sup sub mark abbr q cite font wbr".split())
+_HEADINGS = frozenset(("title", "h1", "h2", "h3"))
+_FRAMES = frozenset(("nav", "footer"))
 _DIRECTIVE = re.compile(r"\s*(?:user-agent|disallow|allow|sitemap|crawl-delay|host|clean-param|noindex)\s*:", re.I)
+_IS_PAGE = re.compile(r"<(?:!doctype|html|head|body)\b", re.I)
+_DIGITS = re.compile(r"\d+")
 
 
 def plain(text: str) -> str:
-    return _SPACE.sub(" ", html.unescape(_TAG.sub(" ", text))).strip()
-
-
-def is_placeholder(block: str) -> bool:
-    """Whether a block holds an unfilled variable in a sentence that does not explain it."""
-    if not _PLACEHOLDER_HINT.search(block) or not PLACEHOLDER.search(block):
-        return False
-    for s in _SENTENCE.split(block):
-        m = PLACEHOLDER.search(s)
-        if m and not (_QUOTES.search(s) or EXPLAINS.search(PLACEHOLDER.sub(" ", s))):
-            return True
-    return False
-
-
-def is_latin(block: str) -> bool:
-    words = re.findall(r"[^\W\d_]+", block)
-    if len(words) < 5 or not any(LATIN.fullmatch(w) for w in words[:3]):
-        return False
-    return sum(1 for w in words if LATIN.fullmatch(w)) >= 0.75 * len(words)
-
-
-def is_filler(block: str) -> bool:
-    """Whether nothing of a block is left without stock phrases, repeated words and pseudo-Latin."""
-    words = block.split()
-    bare = [w.lower().strip(".,;:!?") for w in words]
-    if not bare:
-        return False
-    if not _FILLER_HINT.search(block) and len(set(bare)) * 2 > len(bare):
-        return is_latin(block)
-    # Words that repeat their neighbour go first, or a phrase could swallow one of them.
-    single = [w for i, w in enumerate(words) if bare[i] not in (bare[i - 1] if i else None, bare[i + 1] if i + 1 < len(bare) else None)]
-    if len(words) - len(single) in (1, 2) and len(single) < 2:
-        return False
-    rest = " ".join(single)
-    # No phrase spans two sentences: if something is left of the first, only pseudo-Latin of the whole block remains possible.
-    first = _SENTENCE.split(rest, maxsplit=1)[0]
-    if len(first) < len(rest) and re.search(r"\w", FILLER.sub(" ", first)):
-        return is_latin(rest)
-    return not re.search(r"\w", FILLER.sub(" ", rest)) or is_latin(rest)
-
-
-def is_message(block: str) -> bool:
-    """Whether every sentence of a block is part of an error, outage, refusal or scripts-required message."""
-    if not block or _QUOTES.search(block):
-        return False
-    whole = block.rstrip(" .!")
-    if MESSAGE.fullmatch(whole):
-        return True
-    sentences = (s.rstrip(" .!?") for s in _SENTENCE.split(block))
-    return all(MESSAGE.fullmatch(s) for s in sentences if s)
+    """Text without character references and with single blanks."""
+    return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
 def html_blocks(text: str) -> tuple[list[str], list[str], list[str]]:
-    """Titles and headings, other blocks of the page, and comments."""
-    text = _DROPPED.sub(" ", _GUARD.sub(r"‹\1›", text))
-    comments = [plain(x) for x in _COMMENT.findall(text)]
-    text = _COMMENT.sub(" ", text)
-    heads = [plain(x) for x in (*_TITLE.findall(text), *_HEADING.findall(text))]
-    body = _HEADING.sub("\n\n", _TITLE.sub("\n\n", text))
-    main = _FRAME.sub("\n\n", _NOSCRIPT.sub("\n\n", body))
-    blocks = _paragraphs(main)
-    if not blocks:
-        blocks = _paragraphs(_FRAME.sub("\n\n", body))
-    return [h for h in heads if h], blocks, [c for c in comments if c]
-
-
-def _paragraphs(text: str) -> list[str]:
-    parts = [plain(x) for x in re.split(r"\n\s*\n", _TAG.sub("\n\n", _INLINE.sub("", text)))]
-    return [p for p in parts if p]
+    """Titles and headings, other blocks of the page, and comments, in one pass over its tags.
+
+    Scripts, styles and code are left out. Navigation, footers and noscript are blocks of their own only if the page has no
+    other; a tag that is a placeholder (<your name>) is text.
+    """
+    heads: list[str] = []
+    main: list[str] = []
+    spare: list[str] = []
+    comments: list[str] = []
+    held: list[str] = []
+    skip = frame = noscript = None
+    head = False
+    at = 0
+
+    def close() -> None:
+        if not held:
+            return
+        whole = "".join(held)
+        held.clear()
+        if frame:
+            return
+        where = heads if head else spare if noscript else main
+        for part in _BLANK_LINE.split(whole) if "\n" in whole else (whole,):
+            t = plain(part)
+            if t:
+                where.append(t)
+
+    for m in _PIECE.finditer(text):
+        name = m.group(3)
+        low = name.lower() if name else ""
+        if skip:
+            if low == skip and m.group(2):
+                skip, at = None, m.end()
+            continue
+        if m.start() > at:
+            held.append(text[at : m.start()])
+        at = m.end()
+        if m.group(1) is not None:
+            t = plain(m.group(1))
+            if t:
+                comments.append(t)
+        elif not name:
+            continue
+        elif low in ("your", "insert", "enter", "my") and not m.group(2):
+            held.append(f"‹{m.group()[1:-1]}›")
+        elif low in _INLINE:
+            continue
+        elif low in _SKIPPED:
+            held.append(" ")
+            if not m.group(2) and not m.group().endswith("/>"):
+                skip = low
+        else:
+            close()
+            if low in _HEADINGS:
+                head = not m.group(2)
+            elif low in _FRAMES:
+                frame = not m.group(2)
+            elif low == "noscript":
+                noscript = not m.group(2)
+    if not skip and at < len(text):
+        held.append(text[at:])
+    close()
+    return heads, main or spare, comments
 
 
 def robots_blocks(text: str) -> tuple[list[str], list[str], list[str]]:
     """Heads, blocks and comments of what was stored as robots.txt; directives are content of their own."""
-    if re.search(r"<(?:!doctype|html|head|body)\b", text, re.I):
+    if _IS_PAGE.search(text):
         return html_blocks(text)
     blocks, comments, directives = [], [], False
     for line in text.splitlines():
         if _DIRECTIVE.match(line):
             directives = True
         elif line.lstrip().startswith("#"):
-            comments.append(_SPACE.sub(" ", line.strip().lstrip("#")).strip())
+            comments.append(" ".join(line.strip().lstrip("#").split()))
         elif line.strip():
-            blocks.append(_SPACE.sub(" ", line).strip())
+            blocks.append(" ".join(line.split()))
     comments = [c for c in comments if c]
     # Without a directive a comment is all the file says.
     return ([], blocks if directives else blocks + comments, comments)
 
 
-def judge(heads: list[str], blocks: list[str], comments: list[str], values: list[str], directives: bool = False) -> tuple[bool, list[tuple[str, bool]]]:
-    """Whether a record is a case whatever recurs on its host, and its blocks with whether each is a message."""
-    sure = any(is_placeholder(x) or is_filler(x) for x in (*heads, *blocks, *comments, *values))
-    sure = sure or any(is_message(x) for x in heads)
-    return sure, [(b, is_message(b)) for b in dict.fromkeys(blocks)]
-
-
-_OUT = "owner_table string, owner_id bigint, host string, sure boolean, rules boolean, blocks array<struct<h:bigint,message:boolean>>"
-_BLOCK = pa.struct([("h", pa.int64()), ("message", pa.bool_())])
+_OUT = "owner_table string, owner_id bigint, host string, rules boolean, blocks array<struct<h:bigint,role:int,evidence:int>>"
+_BLOCK = pa.struct([("h", pa.int64()), ("role", pa.int32()), ("evidence", pa.int32())])
 
 
 def _hash(block: str) -> int:
-    v = xxhash.xxh64_intdigest(re.sub(r"\d+", "0", block.lower()))
+    v = xxhash.xxh64_intdigest(_DIGITS.sub("0", block.lower()))
     return v - (1 << 64) if v >> 63 else v
 
 
+_HOST = re.compile(r"\s*(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#:\s]+)", re.I)
+
+
 def _host(url: str | None) -> str | None:
-    m = re.match(r"\s*(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#:\s]+)", url or "", re.I)
+    m = _HOST.match(url or "")
     return m.group(1).lower() if m else None
 
 
+def judge(heads: list[str], blocks: list[str], comments: list[str], values: list[str]) -> list[tuple[int, int, int]]:
+    """Hash, role and kinds of evidence of each block, once each."""
+    roles = ((heads, TITLE), (blocks, PARAGRAPH), (comments, COMMENT), (values, VALUE))
+    return [(_hash(t), role, evidence.of_block(t, role == TITLE)) for texts, role in roles for t in dict.fromkeys(texts)]
+
+
 def _judged(owner_table: str):
-    def one(row: dict) -> tuple[bool, list[tuple[str, bool]], bool]:
+    def one(row: dict) -> tuple[list[tuple[int, int, int]], bool]:
         if owner_table == "captures":
             heads, blocks, comments = html_blocks(row["text"]) if row["text"] else ([], [], [])
-            meta = row["meta"] or []
-            values = [_SPACE.sub(" ", html.unescape(v)).strip() for k, v in meta if v]
-            heads = heads + [_SPACE.sub(" ", html.unescape(v)).strip() for k, v in meta if v and k and k.lower().split(":")[-1] == "title"]
-            return *judge(heads, blocks, comments, values), False
+            meta = [(k or "", plain(v)) for k, v in row["meta"] or [] if v]
+            is_title = lambda k: k.lower().rsplit(":", 1)[-1] == "title"
+            return judge(heads + [v for k, v in meta if v and is_title(k)], blocks, comments, [v for k, v in meta if v and not is_title(k)]), False
         text = robots_text(row["text"])
         if not text:
-            return False, [], False
+            return [], False
         heads, blocks, comments = robots_blocks(text)
         # Rules are real content, so a message beside them is not the main one, however many neighbours have rules too.
-        return *judge(heads, blocks, comments, []), any(_DIRECTIVE.match(x) for x in text.splitlines())
+        return judge(heads, blocks, comments, []), any(_DIRECTIVE.match(x) for x in text.splitlines())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
             found = [one(r) for r in rows]
+            ends = [0]
+            for x, _ in found:
+                ends.append(ends[-1] + len(x))
+            flat = [y for x, _ in found for y in x]
+            parts = [pa.array([y[i] for y in flat], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_BLOCK)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([owner_table] * len(rows), pa.string()),
-                    b.column(0),
-                    pa.array([_host(r["url"]) for r in rows], pa.string()),
-                    pa.array([s for s, _, _ in found], pa.bool_()),
-                    pa.array([r for _, _, r in found], pa.bool_()),
-                    pa.array([[{"h": _hash(t), "message": m} for t, m in x] for _, x, _ in found], pa.list_(_BLOCK)),
-                ],
-                ["owner_table", "owner_id", "host", "sure", "rules", "blocks"],
+                [pa.array([owner_table] * len(rows), pa.string()), b.column(0), pa.array([_host(r["url"]) for r in rows], pa.string()), pa.array([r for _, r in found], pa.bool_()), lists],
+                ["owner_table", "owner_id", "host", "rules", "blocks"],
             )
 
     return run
@@ -275,25 +219,51 @@ def judged_robots(df: DataFrame, owner_id: Column, url: Column, document: Column
 
 
 def boilerplate(judged: DataFrame) -> DataFrame:
-    """host, h: blocks that recur on at least RECURS_ON records and RECURS_SHARE of the records of a host."""
-    per_host = judged.groupBy("owner_table", "host").agg(F.count_distinct("owner_id").alias("records"))
-    lines = judged.select("owner_table", "host", "owner_id", F.explode("blocks.h").alias("h"))
-    lines = lines.groupBy("owner_table", "host", "h").agg(F.count_distinct("owner_id").alias("n")).where(F.col("n") >= RECURS_ON)
-    on = [lines["owner_table"] == per_host["owner_table"], lines["host"].eqNullSafe(per_host["host"])]
-    return lines.join(per_host, on).where(F.col("n") >= F.col("records") * RECURS_SHARE).select(lines["owner_table"], lines["host"], "h")
+    """owner_table, host, h: blocks that recur on at least RECURS_ON records and RECURS_SHARE of the records of a host.
 
+    Copies of a record count once. A hot host sends one partial count per block and task.
+    """
+    once = judged.select("owner_table", "host", "owner_id", F.array_distinct("blocks.h").alias("hs")).groupBy("owner_table", "host", "owner_id").agg(F.max("hs").alias("hs"))
+    rows = once.select("owner_table", "host", F.explode(F.array_append("hs", F.lit(None).cast("bigint"))).alias("h"))
+    n = rows.groupBy("owner_table", "host", "h").agg(F.count(F.lit(1)).alias("n"))
+    # The row without a block counts the records of the host.
+    records = n.where("h is null").select(F.col("owner_table").alias("_t"), F.col("host").alias("_host"), F.col("n").alias("records"))
+    lines = n.where((F.col("n") >= RECURS_ON) & F.col("h").isNotNull())
+    return lines.join(records, (F.col("owner_table") == F.col("_t")) & F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") >= F.col("records") * RECURS_SHARE).select("owner_table", "host", "h")
 
-def residue(judged: DataFrame) -> DataFrame:
-    """owner_table, owner_id of the records that hold residue, once each."""
+
+def residuals(judged: DataFrame) -> DataFrame:
+    """owner_table, owner_id, rules, blocks, recurring: the records with any evidence; recurring are hashes to subtract."""
     judged = cut(judged)
-    sure = judged.where("sure").select("owner_table", "owner_id")
-    open_ = judged.where("not sure and not rules and exists(blocks, x -> x.message)")
-    all_ = open_.where("forall(blocks, x -> x.message)").select("owner_table", "owner_id")
-    # Mixed records: a message beside other blocks. They are cases if all the others are boilerplate of the host.
-    mixed = open_.where("exists(blocks, x -> not x.message)").select("owner_table", "owner_id", "host", F.explode("blocks").alias("b"))
-    mixed = mixed.select("owner_table", "owner_id", "host", "b.h", "b.message").where("not message")
-    known = boilerplate(judged).withColumn("known", F.lit(True)).withColumnsRenamed({"owner_table": "_t", "host": "_host", "h": "_h"})
-    on = (mixed["owner_table"] == known["_t"]) & mixed["host"].eqNullSafe(known["_host"]) & (mixed["h"] == known["_h"])
-    left = mixed.join(known, on, "left").groupBy("owner_table", "owner_id").agg(F.bool_and(F.col("known").isNotNull()).alias("bare"))
-    left = left.where("bare").select("owner_table", "owner_id")
-    return sure.unionByName(all_).unionByName(left).distinct()
+    suspects = judged.where("exists(blocks, b -> b.evidence > 0)")
+    asked = suspects.select("owner_table", "owner_id", "host", F.explode("blocks.h").alias("h"))
+    known = boilerplate(judged).withColumnsRenamed({"owner_table": "_t", "host": "_host", "h": "_h"})
+    on = (F.col("owner_table") == F.col("_t")) & F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h"))
+    hit = asked.join(known, on, "left_semi").groupBy(F.col("owner_table").alias("_t"), F.col("owner_id").alias("_id")).agg(F.collect_set("h").alias("recurring"))
+    rows = suspects.join(hit, (F.col("owner_table") == F.col("_t")) & F.col("owner_id").eqNullSafe(F.col("_id")), "left")
+    return rows.select("owner_table", "owner_id", "rules", "blocks", F.coalesce("recurring", F.array().cast("array<bigint>")).alias("recurring"))
+
+
+def verdicts(judged: DataFrame) -> DataFrame:
+    """owner_table, owner_id, reason, subtracted: 'placeholder', 'filler', 'title', 'page' for what the residual shows.
+
+    subtracted tells whether boilerplate had to go for it.
+    """
+    left = residuals(judged).withColumn("rest", F.filter("blocks", lambda b: ~F.array_contains(F.col("recurring"), b["h"])))
+    left = left.withColumn("rest", F.when(F.size("rest") == 0, F.col("blocks")).otherwise(F.col("rest")))
+    bit = lambda b, k: b["evidence"].bitwiseAND(k) > 0
+    text = lambda bs: F.filter(bs, lambda b: b["role"] == PARAGRAPH)
+    whole = lambda bs: ~F.col("rules") & (F.size(text(bs)) > 0) & F.forall(text(bs), lambda b: bit(b, MESSAGE_BIT))
+    reason = (
+        F.when(F.exists("rest", lambda b: bit(b, PLACEHOLDER_BIT)), "placeholder")
+        .when(F.exists("rest", lambda b: bit(b, FILLER_BIT)), "filler")
+        .when(F.exists("rest", lambda b: (b["role"] == TITLE) & bit(b, MESSAGE_BIT)), "title")
+        .when(whole(F.col("rest")), "page")
+    )
+    found = left.withColumn("reason", reason).where("reason is not null")
+    return found.select("owner_table", "owner_id", "reason", ((F.col("reason") == "page") & ~whole(F.col("blocks"))).alias("subtracted"))
+
+
+def residue(judged: DataFrame) -> DataFrame:
+    """owner_table, owner_id of the records whose residual holds residue, once each."""
+    return verdicts(judged).select("owner_table", "owner_id").distinct()
