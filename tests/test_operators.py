@@ -178,7 +178,12 @@ def test_edit_scripts():
     before = {"i": "object", "i.h": "object", "i.h.*": "string", "i.p": "string"}
     after = {"t": "object", "t.p": "string", "h": "object", "h.*": "string"}
     got = s(before, after, {("i.h", "h"): (9, 9, 9), ("i.p", "t.p"): (9, 8, 7)})
-    assert sorted(got) == [("renamed", "i", "t"), ("renamed", "i.h", "h")]
+    assert sorted(got) == [("moved", "i.h", "h"), ("renamed", "i", "t")]
+    assert schema_drift.distance(before, after, got) == 2 + 2
+    assert s({"a": "object", "a.c": "string", "z": "object"}, {"a": "object", "z": "object", "z.c": "string"}, {("a.c", "z.c"): (9, 9, 9)}) == [("moved", "a.c", "z.c")]
+    # Without common keys, names and forms decide.
+    assert s({"p": "object", "p.title": "string"}, {"p": "object", "p.page_title": "string"}, {}) == [("renamed", "p.title", "p.page_title")]
+    assert sorted(s({"p": "object", "p.x": "string"}, {"q": "object", "q.y": "number"}, {})) == [("added", "q", ""), ("removed", "p", "")]
     # Chance agreement of two booleans is no evidence.
     assert ("renamed", "x", "y") not in s({"x": "boolean"}, {"y": "boolean"}, {("x", "y"): (10, 6, 2)})
 
@@ -211,11 +216,36 @@ def test_drift_of_a_feed(spark):
     assert got == [("f", 2, "renamed", "pageData.title", "pageData.name"), ("f", 3, "added", "extra", ""), ("f", 3, "retyped", "pageData.size", "")]
     table = schema_drift.unified(df)
     assert table.count() == 36
-    assert {r["page"]["title"] for r in table.where("batch_no = 3").collect()} == {f"t{i}" for i in range(12)}
-    assert {r["page"]["size"] for r in table.where("url = 'u3'").collect()} == {"22"}
+    assert {r["page"]["title"][0] for r in table.where("batch_no = 3").collect()} == {f"t{i}" for i in range(12)}
+    assert {r["page"]["size"][0] for r in table.where("url = 'u3'").collect()} == {"22"}
     assert schema_drift.changes(df.limit(0)).count() == 0
 
 
+def test_no_value_of_a_record_is_lost(spark):
+    """Every atom of every payload is in its row of the unified table."""
+    import json
+
+    def atoms(v):
+        if isinstance(v, dict):
+            return [x for m in v.values() for x in atoms(m)]
+        if isinstance(v, list):
+            return [x for m in v for x in atoms(m)]
+        return [] if v is None else [v if isinstance(v, str) else json.dumps(v)]
+
+    first = {"url": "u", "statusCode": 200, "pageData": {"title": "t", "size": 7, "tags": ["a", "b"], "flag": True}, "httpHeaders": {"server": "x", "etag": ["1", "2"]}, "result": {"all": ["WP"]}}
+    odd = [
+        {"url": "u", "statusCode": "200 OK", "pageData": {"title": ["a", "b", "c"], "size": "12 ms", "tags": "p,q", "flag": {"deep": [1, {"er": 2}]}}, "httpHeaders": [{"key": "server", "value": "y"}, {"key": "server", "value": "z"}], "result": {"all": [{"name": "Joomla", "v": 3}]}},
+        {"url": ["list"], "pageData": {"title": {"x": 1, "y": 2}, "size": None, "tags": [], "flag": False}, "other": {"title": "second", "page.title": "third"}}, {"pageData": "plain", "meta": {"og:title": "q", "title": "r"}},
+    ]
+    rows = [(i, "f", 1, json.dumps(first)) for i in range(6)] + [(100 + i, "f", 2, json.dumps(odd[i % 3])) for i in range(9)] + [(200, None, None, json.dumps(odd[0]))]
+    df = spark.createDataFrame(rows, "raw_id long, feed_id string, batch_no int, payload string")
+    got = {r["raw_id"]: r.asDict(True) for r in schema_drift.unified(df).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for raw_id, _, _, payload in rows:
+        held = json.dumps(got[raw_id], default=str)
+        assert [a for a in atoms(json.loads(payload)) if not all(part in held.replace("\\", "") for part in a.replace('"', "").split(","))] == []
+
+
 def test_evolution_needs_both_halves(spark):
     from tracegrid.operators.discovery import evolution
 

@@ -90,6 +90,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return schema_drift.changes(table(spark, sf, "capture_batches"))
 
 
+def p5_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """The edit scripts with moves told from renames."""
+    rows = schema_drift.scripts(table(spark, sf, "capture_batches")).select("feed_id", "batch_no", F.explode("changes").alias("c"))
+    return rows.select("feed_id", "batch_no", "c.*")
+
+
 def p5_unified(spark: SparkSession, sf: str) -> DataFrame:
     """Every readable record in the first names and types of its fields."""
     return schema_drift.unified(table(spark, sf, "capture_batches"))
@@ -138,7 +144,7 @@ SELECT owner_table, owner_id, child_path, parent_key, item_no::INTEGER AS item_n
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_index, p3_distribution, p3_platforms, p3_found, p4_found, p4_bridges, p4_nodes, p5_found, p5_unified)}
+    return {f.__name__: f for f in (p3_index, p3_distribution, p3_platforms, p3_found, p4_found, p4_bridges, p4_nodes, p5_found, p5_scripts, p5_unified)}
 
 
 def oracle_sql() -> dict[str, str]:
