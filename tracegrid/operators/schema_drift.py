@@ -57,25 +57,41 @@ PARSED = "raw_id bigint, feed_id string, batch_no int, digest bigint, url string
 CHANGES = "array<struct<change_kind:string,field_path:string,new_path:string>>"
 
 
+@lru_cache(maxsize=50_000)
+def _named_map(name: str) -> bool:
+    return name.lower().replace("_", "").replace("-", "") in MAP_NAMES
+
+
+@lru_cache(maxsize=50_000)
+def _map_key(key: str) -> tuple[bool, bool]:
+    """Whether a key is a header's name, and whether it is one of metadata."""
+    low = key.lower()
+    return low in HEADER_KEYS or low.startswith("x-"), low in METADATA_KEYS or ":" in key
+
+
 def is_map(name: str, value: dict[str, Any]) -> bool:
     """Whether an object's keys are data: by its name, or by keys that are header or metadata names."""
-    if name.lower().replace("_", "").replace("-", "") in MAP_NAMES:
-        return all(not isinstance(v, dict) for v in value.values())
-    if len(value) < 2 or any(isinstance(v, dict) for v in value.values()):
+    for v in value.values():
+        if isinstance(v, dict):
+            return False
+    if _named_map(name):
+        return True
+    if len(value) < 2:
         return False
-    heads = sum(k.lower() in HEADER_KEYS or k.lower().startswith("x-") for k in value)
-    return heads * 2 > len(value) or all(k.lower() in METADATA_KEYS or ":" in k for k in value)
+    known = [_map_key(k) for k in value]
+    return sum(h for h, _ in known) * 2 > len(value) or all(m for _, m in known)
+
+
+_KINDS = {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
 
 
 def kind_of(v: Any) -> str:
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, (int, float)):
-        return "number"
-    return "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
+    return _KINDS[type(v)] if v is not None else "object"
 
 
 def _most(kinds: list[str]) -> str:
+    if len(set(kinds)) == 1:
+        return kinds[0]
     return min(Counter(kinds).items(), key=lambda x: (-x[1], x[0]))[0]
 
 
@@ -83,7 +99,10 @@ def _digest(v: Any) -> int:
     if isinstance(v, str):
         h = xxhash.xxh32_intdigest(("s" + v).encode("utf-8", "replace"))
     elif isinstance(v, (dict, list)):
-        h = xxhash.xxh32_intdigest(json.dumps(v, sort_keys=True))
+        # Flat containers are told by their plain form, in which members have an order.
+        deep = any(isinstance(x, dict) for x in (v.values() if isinstance(v, dict) else v))
+        flat = json.dumps(v, sort_keys=True) if deep else repr(sorted(v.items())) if isinstance(v, dict) else repr(v)
+        h = xxhash.xxh32_intdigest(flat.encode("utf-8", "replace"))
     else:
         h = xxhash.xxh32_intdigest(f"n{v}")
     return h - (1 << 31)
@@ -129,15 +148,16 @@ def flatten(record: dict[str, Any]) -> dict[str, tuple[str, int | None]]:
     return out
 
 
-def _shape_of(fields: dict[str, tuple[str, int | None]]) -> int:
-    h = xxhash.xxh64_intdigest("\0".join(f"{k}\1{v[0]}" for k, v in sorted(fields.items())))
+@lru_cache(maxsize=20_000)
+def _shape_of(fields: tuple[tuple[str, str], ...]) -> int:
+    h = xxhash.xxh64_intdigest("\0".join(f"{k}\1{v}" for k, v in sorted(fields)).encode("utf-8", "replace"))
     return h - (1 << 64) if h >> 63 else h
 
 
 @lru_cache(maxsize=50_000)
 def mark(path: str) -> int:
     """A path as 32 bits; within a pair of batches a clash would only mix the evidence of two fields."""
-    return xxhash.xxh32_intdigest(path) - (1 << 31)
+    return xxhash.xxh32_intdigest(path.encode("utf-8", "replace")) - (1 << 31)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +182,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
             digests.append(h - (1 << 64) if h >> 63 else h)
             fields = flatten(record)
-            shape = _shape_of(fields)
+            shape = _shape_of(tuple([(p, k) for p, (k, _) in fields.items()]))
             shapes.append(shape)
             # A shape is told once a batch of rows, by the first record that has it.
             fresh = shape not in seen
@@ -234,6 +254,8 @@ def evidence(records: DataFrame, both: DataFrame) -> DataFrame:
     # Of several records of a key in a batch the last one counts.
     newest = lambda late: F.max_by(F.when(F.col("late") == late, F.struct("marks", "values")), F.when(F.col("late") == late, F.col("raw_id")))
     met = hit.groupBy("feed_id", "at", "url").agg(newest(False).alias("a"), newest(True).alias("b")).where("a is not null and b is not null")
+    # Read three times below.
+    met = cut(met)
     held = met.groupBy("feed_id", "at", F.array_sort("a.marks").alias("gone"), F.array_sort("b.marks").alias("come")).agg(F.count(F.lit(1)).alias("k"))
     held = held.groupBy("feed_id", "at").agg(F.collect_list(F.struct("gone", "come", "k")).alias("met"))
     each = F.array(F.struct(F.lit(False).alias("late"), F.col("a").alias("r")), F.struct(F.lit(True).alias("late"), F.col("b").alias("r")))
@@ -470,7 +492,7 @@ def _scripted(records: DataFrame, trees: DataFrame) -> DataFrame:
 def scripts(batches: DataFrame) -> DataFrame:
     """feed_id, batch_no, changes: the edit script of each batch against the one before, with moves told from renames."""
     records = cut(parsed(batches))
-    return _scripted(records, schemas(records))
+    return _scripted(records, cut(schemas(records)))
 
 
 def changes(batches: DataFrame) -> DataFrame:
@@ -614,7 +636,7 @@ def unified(batches: DataFrame) -> DataFrame:
     Every readable record is one row, repeated rows once, and every value of it is in the row.
     """
     records = cut(parsed(batches))
-    trees = schemas(records)
+    trees = cut(schemas(records))
     lines = lineages(_scripted(records, trees), trees).withColumnsRenamed({"feed_id": "_f", "batch_no": "_b"})
     rows = batches.select("raw_id", "feed_id", F.col("batch_no").cast("int").alias("batch_no"), "payload").where("payload is not null")
     once = rows.groupBy("raw_id", "feed_id", "batch_no", F.md5("payload").alias("_h")).agg(F.first("payload").alias("payload"))
