@@ -133,7 +133,7 @@ def test_tree_aggregate_over_skew_nulls_and_empty(spark):
     rows = [("Hot", i) for i in range(900)] + [(" hot ", None), (None, 5), ("  ", 7), (" HOT", 1)] + [(f"k{i}", i) for i in range(50)]
     df = spark.createDataFrame(rows, "name string, v long").repartition(13)
     keys, measures = {"k": platform_key(F.col("name"))}, {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "m": ("max", F.col("v"))}
-    got = by(tree_aggregate(df, keys, measures, fan_in=2, rounds=4).collect(), "k")
+    got = by(tree_aggregate(df, keys, measures, fan_in=2).collect(), "k")
     assert (got["hot"]["n"], got["hot"]["s"], got["hot"]["m"]) == (902, sum(range(900)) + 1, 899)
     assert got["unknown"]["s"] == 12 and len(got) == 52
     assert tree_aggregate(df.limit(0), keys, measures).count() == 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.functions import stats as S
@@ -22,15 +22,21 @@ def most_frequent(obs: DataFrame, k: int) -> DataFrame:
     return obs.join(top, "feature", "left_semi")
 
 
-def _carried(obs: DataFrame, min_sites: int, by: list[str]) -> DataFrame:
-    d = obs.select("site", *by, "feature").distinct()
-    return d.withColumn("nf", F.count(F.lit(1)).over(Window.partitionBy(*by, "feature"))).where(F.col("nf") >= min_sites)
+def _carried(obs: DataFrame, min_sites: int) -> DataFrame:
+    """site, feature, nf: distinct, with the sites of the feature.
+
+    Counts have one row per feature and are joined back, so a feature that all sites carry can be split; a window would
+    bring its rows into one task.
+    """
+    d = obs.select("site", "feature").distinct()
+    n = d.groupBy("feature").agg(F.count(F.lit(1)).alias("nf")).where(F.col("nf") >= min_sites)
+    return d.join(n, "feature")
 
 
 def pairs(obs: DataFrame, min_sites: int = 1) -> DataFrame:
     """f1 < f2 with the sites of both: n, n1, n2, freq_pct, p (of f2 given f1) and mi, the pair's term of mutual information."""
     total = obs.agg(F.count_distinct("site")).scalar().cast("double")
-    d = _carried(obs, min_sites, [])
+    d = _carried(obs, min_sites)
     a, b = d.select("site", F.col("feature").alias("f1"), F.col("nf").alias("n1")), d.select("site", F.col("feature").alias("f2"), F.col("nf").alias("n2"))
     both = a.join(b, "site").where("f1 < f2").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.max("n1").alias("n1"), F.max("n2").alias("n2")).where(F.col("n") >= min_sites)
     both = both.withColumn("total", total)
@@ -52,11 +58,19 @@ def platform_pairs(obs: DataFrame, min_sites: int = 2, share: float = 0.1) -> Da
     """platform, f1, f2, n, freq, exclusivity: pairs frequent within a platform, and their share of the pair's sites anywhere."""
     sizes = obs.select("site", "platform").distinct().groupBy("platform").agg(F.count(F.lit(1)).alias("np")).where(F.col("np") >= max(2, min_sites))
     d = obs.select("site", "platform", "feature").distinct()
-    both = d.withColumnRenamed("feature", "f1").join(d.select("site", F.col("feature").alias("f2")), "site").where("f1 < f2")
-    per = both.groupBy("platform", "f1", "f2").agg(F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("anywhere", F.sum("n").over(Window.partitionBy("f1", "f2"))).join(sizes, "platform")
-    per = per.where((F.col("n") >= min_sites) & (F.col("n") / F.col("np") >= share))
-    return per.select("platform", "f1", "f2", "n", F.round(F.col("n") / F.col("np"), 6).alias("freq"), F.round(F.col("n") / F.col("anywhere"), 6).alias("exclusivity"))
+    # A pair is no more frequent in a platform than either of its features, so those below the floors go before the self-join.
+    # What remains of a platform decides which pairs count there; where else they occur is counted for these pairs only.
+    n = d.groupBy("platform", "feature").agg(F.count(F.lit(1)).alias("n")).join(sizes, "platform").where((F.col("n") >= min_sites) & (F.col("n") / F.col("np") >= share))
+    near = d.join(n.select("platform", "feature"), ["platform", "feature"])
+    own = near.withColumnRenamed("feature", "f1").join(near.select("site", "platform", F.col("feature").alias("f2")), ["site", "platform"]).where("f1 < f2")
+    per = own.groupBy("platform", "f1", "f2").agg(F.count(F.lit(1)).alias("n")).join(sizes, "platform").where((F.col("n") >= min_sites) & (F.col("n") / F.col("np") >= share))
+    known = per.select("f1", "f2").distinct()
+    features = known.select(F.explode(F.array("f1", "f2")).alias("feature")).distinct()
+    held = d.select("site", "platform", "feature").join(features, "feature", "left_semi")
+    both = held.withColumnRenamed("feature", "f1").join(known, "f1").join(held.select("site", "platform", F.col("feature").alias("f2")), ["site", "platform", "f2"])
+    anywhere = both.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("anywhere"))
+    rows = per.join(anywhere, ["f1", "f2"])
+    return rows.select("platform", "f1", "f2", "n", F.round(F.col("n") / F.col("np"), 6).alias("freq"), F.round(F.col("n") / F.col("anywhere"), 6).alias("exclusivity"))
 
 
 def signature_sites(obs: DataFrame, signatures: list[tuple[str, list[str], list[str]]]) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tracegrid.functions import catalogue as K
 
+#: Buckets into which the values of a key are spread for percentiles.
+BUCKETS = 64
 _URL = r"^(?i)(https?)://([^/?#\s]+)([^?#\s]*)(?:\?[^#\s]*)?(?:#\S*)?\z"
 
 
@@ -169,12 +171,19 @@ def span_text(days: Column) -> Column:
 
 
 def index_percentiles(df: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Percentiles by the index rule d[floor(q * n)] of the sorted values, without gathering a group in one row.
+    """Percentiles by the index rule d[floor(q * n)] of the sorted values, without gathering a group in one task.
 
-    Values are counted first, so what is ranked are distinct values per key and not rows.
+    Values are counted, and counts added up per bucket of a key: a bucket holds the values that share a quantile of a sketch,
+    so a key of any number of distinct values is spread over buckets. Running sums go over the buckets of a key and within
+    each bucket, and both are exact.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(key)
-    run = counts.withColumns({"upto": F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    cuts = counts.groupBy(key).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts")).withColumnRenamed(key, "_k")
+    placed = counts.join(cuts, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_k", "_cuts")
+    sums = placed.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).agg(F.sum("c").alias("s"))
+    w = Window.partitionBy("_k")
+    sums = sums.withColumns({"before": F.sum("s").over(w.orderBy("_kb").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s"), "n": F.sum("s").over(w)})
+    both = placed.join(sums, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb")))
+    run = both.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(key, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     picks = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col(value))).alias(f"p{round(q * 100)}") for q in shares]
     return run.groupBy(key).agg(F.max("n").alias("n"), *picks)

@@ -8,56 +8,85 @@ from pyspark.sql import functions as F
 from tracegrid.functions import catalogue as K
 
 
-def _rolled(members: DataFrame, obs: DataFrame, kind: str, least: int, full: int) -> DataFrame:
-    """pattern, type, members, site_count, frequency, confidence of (pattern, feature) rows: distinct sites of the union."""
+#: Names that a pattern of each type needs at least, and from which on its confidence is full.
+_LEAST = {"prefix": (2, 10), "suffix": (2, 8), "contains": (3, 15), "regex": (2, 5)}
+
+
+def _of_type(column: int) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in _LEAST.items() for x in (k, v[column])]), F.col("type"))
+
+
+def _rolled(members: DataFrame, obs: DataFrame) -> DataFrame:
+    """pattern, type, members, site_count, frequency, confidence of (type, pattern, feature) rows: distinct sites of the union.
+
+    The names of all types meet the observations in one join.
+    """
     n = obs.agg(F.count_distinct("site")).scalar().cast("double")
-    sizes = members.groupBy("pattern").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= least)
-    sites = members.join(sizes, "pattern").join(obs.select("site", "feature").distinct(), "feature")
-    per = sites.groupBy("pattern", "members").agg(F.count_distinct("site").alias("site_count"))
-    return per.select("pattern", F.lit(kind).alias("type"), "members", "site_count", F.round(F.col("site_count") / n, 6).alias("frequency"), F.round(F.least(F.col("members") / float(full), F.lit(1.0)), 6).alias("confidence"))
+    sizes = members.groupBy("type", "pattern").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= _of_type(0))
+    sites = members.join(sizes, ["type", "pattern"]).join(obs.select("site", "feature").distinct(), "feature")
+    per = sites.groupBy("type", "pattern", "members").agg(F.count_distinct("site").alias("site_count"))
+    return per.select("pattern", "type", "members", "site_count", F.round(F.col("site_count") / n, 6).alias("frequency"), F.round(F.least(F.col("members") / _of_type(1), F.lit(1.0)), 6).alias("confidence"))
 
 
 def _names(obs: DataFrame) -> DataFrame:
     return obs.select("feature").distinct()
 
 
-def prefix_patterns(obs: DataFrame) -> DataFrame:
+def _prefix_members(names: DataFrame) -> DataFrame:
     """Prefixes of 2 to 12 characters that end before a separator, with it; two names at least."""
     name = F.col("feature")
     top = F.least(F.lit(12), F.length(name) - 2)
     cuts = F.filter(F.when(top >= 2, F.sequence(F.lit(2), top)), lambda i: F.substring(name, i + 1, F.lit(1)).isin("-", "_"))
-    rows = _names(obs).select("feature", F.explode(F.transform(cuts, lambda i: F.substring(name, F.lit(1), i + 1))).alias("pattern"))
-    return _rolled(rows, obs, "prefix", 2, 10)
+    rows = names.select("feature", F.explode(F.transform(cuts, lambda i: F.substring(name, F.lit(1), i + 1))).alias("pattern"))
+    return rows.select(F.lit("prefix").alias("type"), "pattern", "feature")
 
 
-def suffix_patterns(obs: DataFrame) -> DataFrame:
+def prefix_patterns(obs: DataFrame) -> DataFrame:
+    return _rolled(_prefix_members(_names(obs)), obs)
+
+
+def _suffix_members(names: DataFrame) -> DataFrame:
     """Each name by its longest suffix of 2 to 8 characters that it shares with another; groups of two at least."""
     name = F.col("feature")
     top = F.least(F.lit(8), F.length(name) - 1)
-    each = _names(obs).select("feature", F.explode(F.transform(F.when(top >= 2, F.sequence(F.lit(2), top)), lambda i: F.substring(name, F.length(name) - i + 1, i))).alias("pattern"))
+    each = names.select("feature", F.explode(F.transform(F.when(top >= 2, F.sequence(F.lit(2), top)), lambda i: F.substring(name, F.length(name) - i + 1, i))).alias("pattern"))
     shared = each.groupBy("pattern").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("pattern")
     w = Window.partitionBy("feature").orderBy(F.desc(F.length("pattern")))
     longest = each.join(shared, "pattern").withColumn("r", F.row_number().over(w)).where("r = 1").select("feature", "pattern")
-    return _rolled(longest, obs, "suffix", 2, 8)
+    return longest.select(F.lit("suffix").alias("type"), "pattern", "feature")
 
 
-def token_patterns(obs: DataFrame) -> DataFrame:
+def suffix_patterns(obs: DataFrame) -> DataFrame:
+    return _rolled(_suffix_members(_names(obs)), obs)
+
+
+def _token_members(names: DataFrame) -> DataFrame:
     """Tokens of three letters and more that three names share."""
     tokens = F.filter(F.array_union(F.split("feature", r"[-_.\s]"), F.regexp_extract_all("feature", F.lit(r"([a-z]{3,})"), 1)), lambda t: F.length(t) >= 3)
-    rows = _names(obs).select("feature", F.explode(F.array_distinct(tokens)).alias("pattern"))
-    return _rolled(rows, obs, "contains", 3, 15)
+    rows = names.select("feature", F.explode(F.array_distinct(tokens)).alias("pattern"))
+    return rows.select(F.lit("contains").alias("type"), "pattern", "feature")
 
 
-def shape_patterns(obs: DataFrame) -> DataFrame:
+def token_patterns(obs: DataFrame) -> DataFrame:
+    return _rolled(_token_members(_names(obs)), obs)
+
+
+def _shape_members(names: DataFrame) -> DataFrame:
     """Names of one of the known shapes; two at least."""
     shapes = F.array_compact(F.array(*[F.when(F.col("feature").rlike(rx), F.lit(n)) for n, rx in K.NAME_SHAPES]))
-    return _rolled(_names(obs).select("feature", F.explode(shapes).alias("pattern")), obs, "regex", 2, 5)
+    return names.select("feature", F.explode(shapes).alias("pattern")).select(F.lit("regex").alias("type"), "pattern", "feature")
+
+
+def shape_patterns(obs: DataFrame) -> DataFrame:
+    return _rolled(_shape_members(_names(obs)), obs)
 
 
 def discovered(obs: DataFrame, min_sites: int, k: int = 100) -> DataFrame:
     """The k strongest patterns of all types: frequency over .05 (.1 below a hundred sites) and enough sites."""
     n = obs.agg(F.count_distinct("site")).scalar()
-    all_ = prefix_patterns(obs).unionByName(suffix_patterns(obs)).unionByName(token_patterns(obs)).unionByName(shape_patterns(obs))
+    names = _names(obs)
+    members = _prefix_members(names).unionByName(_suffix_members(names)).unionByName(_token_members(names)).unionByName(_shape_members(names))
+    all_ = _rolled(members, obs)
     floor = F.when(n >= 100, 0.05).otherwise(0.1)
     sig = F.when(F.col("site_count") < 5, 0.1).otherwise((F.least(F.col("frequency") * 2, F.lit(1.0)) + F.least(F.col("site_count") / 100, F.lit(1.0))) / 2)
     kept = all_.where((F.col("frequency") >= floor) & (F.col("site_count") >= min_sites)).withColumns({"rank_value": F.round(F.col("frequency") * F.col("confidence"), 6), "significance": F.round(sig, 6)})
@@ -100,16 +129,19 @@ def anomalies(classified: DataFrame, freq: DataFrame) -> DataFrame:
 def halves(obs: DataFrame) -> DataFrame:
     """obs with the column late: whether a row lies in the second half by time. Needs ten rows at least.
 
-    The border is the value at half the rows in the order of (time, site, feature), found by a sorted range instead of a
-    window over everything: rows are counted per day, and only the day of the border is ranked.
+    Rows are counted per day, days are added up, and the day in which the half falls is told; only the rows of that day are
+    ranked, all others are placed by their day. The days are as many as the corpus has, however many rows they hold.
     """
     rows = obs.where("captured_at is not null").withColumn("day", F.to_date("captured_at"))
     days = rows.groupBy("day").agg(F.count(F.lit(1)).alias("c"))
-    before = days.alias("a").join(days.alias("b"), F.col("b.day") < F.col("a.day"), "left").groupBy("a.day", "a.c").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("prior"))
+    upto = days.withColumn("upto", F.sum("c").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
     half = rows.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
-    w = Window.partitionBy("day").orderBy("captured_at", "site", "feature", "value")
-    placed = rows.join(before.select("day", "prior"), "day").withColumn("at", F.col("prior") + F.row_number().over(w))
-    return placed.withColumn("late", F.col("at") > half)
+    border = upto.where(F.col("upto") >= half).agg(F.min(F.struct("day", (F.col("upto") - F.col("c")).alias("prior"))).alias("b"))
+    day, prior = border.select("b.day").scalar(), border.select("b.prior").scalar()
+    other = rows.where(F.col("day") != day).withColumn("late", F.col("day") > day)
+    w = Window.orderBy("captured_at", "site", "feature", "value")
+    ranked = rows.where(F.col("day") == day).withColumn("late", prior + F.row_number().over(w) > half)
+    return other.unionByName(ranked)
 
 
 def evolution(obs: DataFrame) -> DataFrame:

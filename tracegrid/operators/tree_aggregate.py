@@ -2,7 +2,8 @@
 
 Level 0 combines the rows of an input chunk where they are read: Spark's partial aggregation leaves one state per key and
 chunk. Each round then merges the states of ``fan_in`` neighbouring chunks, so a task receives at most ``fan_in`` states
-of a key, however many rows the key owns; the last round leaves one state per key.
+of a key, however many rows the key owns; the number of rounds is the logarithm of the number of chunks, so the last round
+receives no more and leaves one state per key.
 
 States are sums, counts, minima and maxima, so merging is the same expression at every level and no float average is
 averaged again.
@@ -17,7 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FAN_IN = 64
-ROUNDS = 2
+
+
+def rounds_for(chunks: int, fan_in: int) -> int:
+    """Rounds of merging after which one state is left of so many; one at least."""
+    n = 1
+    while fan_in**n < chunks:
+        n += 1
+    return n
 
 
 def platform_key(name: Column) -> Column:
@@ -34,8 +42,13 @@ def _state(kind: str, value: Column) -> Column:
     return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind](value)
 
 
-def tree_aggregate(df: DataFrame, keys: dict[str, Column], measures: dict[str, tuple[str, Column]], fan_in: int = FAN_IN, rounds: int = ROUNDS) -> DataFrame:
-    """One row per key with its measures, name -> ('sum' | 'count' | 'min' | 'max', column)."""
+def tree_aggregate(df: DataFrame, keys: dict[str, Column], measures: dict[str, tuple[str, Column]], fan_in: int = FAN_IN, chunks: int | None = None) -> DataFrame:
+    """One row per key with its measures, name -> ('sum' | 'count' | 'min' | 'max', column).
+
+    chunks: the partitions of df. By default they are asked for, which plans a scan and runs nothing; a frame with shuffles
+    of its own would run them, so name an upper bound for one.
+    """
+    rounds = rounds_for(chunks or df.rdd.getNumPartitions(), fan_in)
     by = [c.alias(k) for k, c in keys.items()]
     values = [c.alias(f"_v_{k}") for k, (_, c) in measures.items()]
     rows = df.select(*by, *values, F.expr(f"spark_partition_id() div {fan_in}").alias("_node"))

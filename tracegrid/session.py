@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,8 @@ def build(app: str = "tracegrid", master: str | None = None, **conf: object) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoints go with the frames that were cut there.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
@@ -32,13 +35,19 @@ def build(app: str = "tracegrid", master: str | None = None, **conf: object) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by all executors that ``spark.checkpoint.dir`` names; one of our own only where that is unset.
 
-    A cluster names a shared folder. Tests on one machine name none and get a temporary one.
+    A cluster must name a shared folder: without one a folder of the driver's machine would be taken for it, so that is an
+    error. A session on one machine may name none and gets a temporary one, which goes when Python ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    spark.sparkContext.setCheckpointDir(named or f"{tempfile.gettempdir()}/tracegrid-{uuid.uuid4().hex}")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("name a folder shared by all executors in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="tracegrid-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 
