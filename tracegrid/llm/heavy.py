@@ -23,9 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.operators.tree_aggregate import rounds_for
+
 SCHEMA = "field int, node long, totals boolean, item long, count long, error long, n long"
 FAN_IN = 128
-ROUNDS = 3
 
 
 def reduce_counters(items: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -94,14 +95,16 @@ def _merge(k: int):
     return run
 
 
-def summaries(values: DataFrame, k: int) -> DataFrame:
+def summaries(values: DataFrame, k: int, chunks: int | None = None) -> DataFrame:
     """One merged summary per field of a frame (field int, item long).
 
-    Each round merges the summaries of FAN_IN neighbours, so no task ever holds more than FAN_IN * (k + 1) rows of a
-    field; FAN_IN ** ROUNDS partitions, two million, are the most that end in one summary.
+    Each round merges the summaries of FAN_IN neighbours, so no task ever holds more than FAN_IN * (k + 1) rows of a field.
+    There are as many rounds as leave one summary of the partitions of the frame, whatever their number. chunks: that number,
+    or a bound; by default it is asked for, which plans a scan and runs nothing.
     """
-    s = values.select("field", "item").mapInArrow(_local(k), SCHEMA)
-    for _ in range(ROUNDS):
+    rows = values.select("field", "item")
+    s = rows.mapInArrow(_local(k), SCHEMA)
+    for _ in range(rounds_for(chunks or rows.rdd.getNumPartitions(), FAN_IN)):
         s = s.withColumn("node", F.expr(f"node div {FAN_IN}")).groupBy("field", "node").applyInPandas(_merge(k), SCHEMA)
     return s
 

@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracegrid.session import cut
+
 ITEMS_PER_SHARD = 50_000
 REOPENED = 32
 NEIGHBOURS = 64
-_OUT = "container_kind string, container_id long, doc_id long, part_no int, token_from long, n_tokens long, loss_tokens long, capacity long, reopen boolean"
+_OUT = "container_kind string, container_id long, doc_id long, part_no int, token_from long, n_tokens long, loss_tokens long, capacity long, segments long, most_loss long, reopen boolean"
 
 
 def fill(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> np.ndarray:
@@ -97,51 +99,78 @@ def _fill_line(tokens: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _cut(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Parts of the items: full parts of those above the capacity, and the rests."""
+def _cut(rows: pd.DataFrame, limits: tuple[int, int, int]) -> pd.DataFrame:
+    """Parts of the items: full parts of those above the capacity in tokens or in loss-bearing tokens, and the rests."""
     n = rows["n_tokens"].to_numpy(np.int64)
+    borne = rows["loss_tokens"].to_numpy(np.int64)
+    # The loss-bearing tokens come last in an item; a part may hold as many of them as the limit says.
+    capacity = limits[0] if (borne <= limits[2]).all() else min(limits[0], limits[2])
     parts = -(-n // capacity)
     at = np.repeat(np.arange(len(rows)), parts)
     no = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
     size = np.minimum(capacity, n[at] - no * capacity)
-    loss = np.minimum(rows["loss_tokens"].to_numpy(np.int64)[at], size)
+    loss = np.clip(no * capacity + size - (n - borne)[at], 0, size)
     return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[at], "part_no": no.astype(np.int32), "token_from": no * capacity, "n_tokens": size, "loss_tokens": loss})
 
 
-def _pack(parts: pd.DataFrame, kind: str, capacity: int, segments: int | None, base: int, reopen: int) -> pd.DataFrame:
+def _pack(parts: pd.DataFrame, kind: str, limits: tuple[int, int, int], base: int, reopen: int) -> pd.DataFrame:
     parts = parts.sort_values(["n_tokens", "doc_id", "part_no"], ascending=[False, True, True]).reset_index(drop=True)
-    box = fill(parts["n_tokens"].to_numpy(np.int64), parts["loss_tokens"].to_numpy(np.int64), (capacity, segments or capacity, capacity))
+    box = fill(parts["n_tokens"].to_numpy(np.int64), parts["loss_tokens"].to_numpy(np.int64), limits)
     used = np.bincount(box, weights=parts["n_tokens"])
     emptiest = np.zeros(len(used), bool)
     if reopen:
         emptiest[np.argsort(used, kind="stable")[:reopen]] = True
-        emptiest &= used < capacity
-    return parts.assign(container_kind=kind, container_id=base + box, capacity=capacity, reopen=emptiest[box])
+        emptiest &= used < limits[0]
+    return parts.assign(container_kind=kind, container_id=base + box, capacity=limits[0], segments=limits[1], most_loss=limits[2], reopen=emptiest[box])
 
 
-def pack(items: DataFrame, kinds: list[tuple[str, int]], n_items: int, segments: int | None = None) -> DataFrame:
-    """container_kind, container_id, doc_id, part_no, token_from, n_tokens for each kind by itself.
+def pack(items: DataFrame, kinds: DataFrame, n_items: int) -> DataFrame:
+    """container_kind, container_id, doc_id, part_no, token_from, n_tokens, loss_tokens for each kind by itself.
 
-    items: doc_id, n_tokens, loss_tokens. kinds: name and capacity in tokens of each kind, a handful. n_items: their
-    number, which sets the number of shards. segments: most segments in a container, by default as many as tokens.
+    items: doc_id, n_tokens, loss_tokens. kinds: container_kind, capacity_tokens and, if given, segments and loss_tokens, the
+    most segments and loss-bearing tokens of a container, by default as many as tokens; a table of any length. n_items: their
+    number, which sets the number of shards.
     """
     shards = max(1, -(-n_items // ITEMS_PER_SHARD))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in kinds]))
-    spread = items.where("n_tokens > 0").select("doc_id", "n_tokens", "loss_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), each.alias("k"))
-    spread = spread.select("doc_id", "n_tokens", "loss_tokens", "shard", "k.*")
+    own = set(kinds.columns)
+    limits = [F.coalesce(F.col(c).cast("long"), F.col("capacity_tokens").cast("long")) if c in own else F.col("capacity_tokens").cast("long") for c in ("segments", "loss_tokens")]
+    each = kinds.where("capacity_tokens > 0").groupBy("container_kind").agg(F.min(F.struct(F.col("capacity_tokens").cast("long").alias("capacity"), limits[0].alias("segments"), limits[1].alias("most_loss"))).alias("k")).select("container_kind", "k.*")
+    demand = items.where("n_tokens > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("loss_tokens").cast("long").alias("loss_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    # Every item meets every kind by definition: the kinds, one row each, come as a list that is told once.
+    listed = each.agg(F.collect_list(F.struct("container_kind", "capacity", "segments", "most_loss"))).scalar()
+    spread = demand.withColumn("k", F.explode(listed)).select("doc_id", "n_tokens", "loss_tokens", "shard", "k.*")
+    by = ["container_kind", "capacity", "segments", "most_loss"]
 
     def first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kind, shard, capacity = key
-        return _pack(_cut(rows, int(capacity)), kind, int(capacity), segments, int(shard) << 28, REOPENED if shards > 1 else 0)
+        kind, capacity, segments, loss, shard = key
+        limits = (int(capacity), int(segments), int(loss))
+        return _pack(_cut(rows, limits), kind, limits, int(shard) << 28, REOPENED if shards > 1 else 0)
 
     def second(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kind, capacity, group = key
-        return _pack(rows.drop(columns=["container_kind", "container_id", "capacity", "reopen"]), kind, int(capacity), segments, (1 << 62) + (int(group) << 28), 0)
+        kind, capacity, segments, loss, group = key
+        limits = (int(capacity), int(segments), int(loss))
+        return _pack(rows[["doc_id", "part_no", "token_from", "n_tokens", "loss_tokens"]], kind, limits, (1 << 62) + (int(group) << 28), 0)
 
-    packed = spread.groupBy("container_kind", "shard", "capacity").applyInPandas(first, _OUT)
+    packed = spread.groupBy(*by, "shard").applyInPandas(first, _OUT)
     kept = packed
     if shards > 1:
+        # Each shard is packed once: what it keeps and what is opened again are told apart in the table it wrote.
+        packed = cut(packed)
         group = F.expr(f"(container_id >> 28) div {NEIGHBOURS}").alias("group")
-        again = packed.where("reopen").groupBy("container_kind", "capacity", group).applyInPandas(second, _OUT)
+        again = packed.where("reopen").groupBy(*by, group).applyInPandas(second, _OUT)
         kept = packed.where("not reopen").unionByName(again)
-    return kept.select("container_kind", "container_id", "doc_id", "part_no", "token_from", "n_tokens")
+    return kept.select("container_kind", "container_id", "doc_id", "part_no", "token_from", "n_tokens", "loss_tokens")
+
+
+def fill_report(packed: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Per kind: containers, the fewest that any packing needs, tokens, and the share of room in use.
+
+    The bound is the largest of what tokens, segments and loss-bearing tokens need by themselves.
+    """
+    own = set(kinds.columns)
+    caps = kinds.select("container_kind", F.col("capacity_tokens").alias("capacity"), *[(F.coalesce(F.col(c), F.col("capacity_tokens")) if c in own else F.col("capacity_tokens")).alias(f"most_{c}") for c in ("segments", "loss_tokens")])
+    per = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("parts"), F.sum("loss_tokens").alias("loss"))
+    per = per.groupBy("container_kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.sum("parts").alias("parts"), F.sum("loss").alias("loss"), F.max("used").alias("fullest"), F.max("parts").alias("most_parts"), F.max("loss").alias("most_loss"))
+    rows = per.join(caps, "container_kind")
+    bound = F.greatest(F.ceil(F.col("tokens") / F.col("capacity")), F.ceil(F.col("parts") / F.col("most_segments")), F.ceil(F.col("loss") / F.col("most_loss_tokens")))
+    return rows.select("container_kind", "containers", bound.alias("least_containers"), "tokens", "fullest", "most_parts", "most_loss", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("share_used"))

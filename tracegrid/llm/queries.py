@@ -54,9 +54,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The frequent values with the summary's count and its largest error beside the exact count."""
+    """The frequent values with their exact counts, and whether these lie within what the summary promised."""
     top = heavy.most_frequent(_values(spark, sf), 0.005)
-    return top.select(_field_kind().alias("field_kind"), F.col("value").alias("item"), "approx_count", "error", "exact_count", "n")
+    within = (F.col("approx_count") <= F.col("exact_count")) & (F.col("exact_count") <= F.col("approx_count") + F.col("error"))
+    return top.select(_field_kind().alias("field_kind"), F.col("value").alias("item"), "exact_count", "n", within.alias("within"))
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,22 +85,43 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf, "documents"), "doc_id", F.col("text"))
 
 
-def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's place in the containers of each kind."""
+def _sized(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The documents in tokens, and their number, which the footers of the files tell."""
     docs = table(spark, sf, "documents")
-    # The kinds are a fixed handful by definition; more than a hundred would be another table.
-    kinds = [(r["container_kind"], r["capacity_tokens"]) for r in table(spark, sf, "containers").limit(100).collect()]
-    items = bpe.count_table(docs, "doc_id", F.col("text")).withColumn("loss_tokens", F.col("n_tokens"))
-    return packing.pack(items, kinds, docs.count())
+    return bpe.count_table(docs, "doc_id", F.col("text")), docs.count()
+
+
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in the containers of each kind; all tokens bear loss and segments are not limited."""
+    items, n = _sized(spark, sf)
+    packed = packing.pack(items.withColumn("loss_tokens", F.col("n_tokens")), table(spark, sf, "containers").select("container_kind", "capacity_tokens"), n)
+    return packed.drop("loss_tokens")
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Per kind: containers, tokens in them, and the share of room in use."""
-    packed = p8_packed(spark, sf)
-    caps = table(spark, sf, "containers").select("container_kind", F.col("capacity_tokens").alias("capacity"))
-    per = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"))
-    per = per.groupBy("container_kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
-    return per.join(caps, "container_kind").withColumn("share_used", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+    """Per kind: containers against the fewest possible, and the share of room in use."""
+    items, n = _sized(spark, sf)
+    kinds = table(spark, sf, "containers").select("container_kind", "capacity_tokens")
+    return packing.fill_report(packing.pack(items.withColumn("loss_tokens", F.col("n_tokens")), kinds, n), kinds)
+
+
+def _instructions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as instruction data: the second half of a text is the answer and bears loss, a container holds eight
+    segments at most and three fifths of its tokens may bear loss. All three limits bind."""
+    items, n = _sized(spark, sf)
+    kinds = table(spark, sf, "containers").select("container_kind", "capacity_tokens", F.lit(8).alias("segments"), F.expr("capacity_tokens * 3 div 5").alias("loss_tokens"))
+    items = items.withColumn("loss_tokens", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0, F.col("n_tokens")).otherwise(F.expr("n_tokens div 2")))
+    return packing.pack(items, kinds, n), kinds
+
+
+def p8_instructions(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of the documents under limits on tokens, segments and loss-bearing tokens at once."""
+    return _instructions(spark, sf)[0]
+
+
+def p8_instructions_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind: containers under the three limits against the fewest possible."""
+    return packing.fill_report(*_instructions(spark, sf))
 
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +144,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts, p6_found, p6_verdicts, p6_boilerplate, p7_ids, p8_packed, p8_fill, p9_found, p9_classes, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_counts, p6_found, p6_verdicts, p6_boilerplate, p7_ids, p8_packed, p8_fill, p8_instructions, p8_instructions_fill, p9_found, p9_classes, p9_statistics)}
 
 
 _CANONICAL = r"""
@@ -176,5 +198,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_collapsed": _CANONICAL + "SELECT first_id, count(*) AS n_copies FROM grouped GROUP BY first_id",
         "p1_collisions": _CANONICAL + "SELECT md5(k) AS digest, count(DISTINCT k) AS n_texts FROM grouped GROUP BY md5(k) HAVING count(DISTINCT k) > 1",
         "p9_statistics": _STATISTICS.replace("@COMMON", ", ".join(f"'{w}'" for w in sorted(quality.COMMON))),
+        "p2_counts": _VALUES + "SELECT field_kind, item, k AS exact_count, n::BIGINT AS n, true AS within FROM t WHERE k * 200 >= n",
         "p2_found": _VALUES + "SELECT field_kind, item FROM t WHERE k * 200 >= n",
     }
