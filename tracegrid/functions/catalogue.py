@@ -129,3 +129,55 @@ METHOD_WEIGHTS = {
     "Duda": {"meta-tag": 1.0, "duda-javascript": 1.0, "html-content": 0.8, "http-headers": 0.7},
 }
 EXCLUSIVE_PLATFORMS = [("WordPress", "Drupal"), ("WordPress", "Joomla"), ("Shopify", "Magento"), ("Drupal", "Joomla")]
+
+# Optional headers of the vendor signatures, in their order.
+VENDOR_OPTIONAL = [["x-wp-total", "cf-cache-status"], ["x-shopify-stage", "x-cache"], ["x-generator", "x-amz-cf-pop"], ["laravel_session", "cf-cache-status"], ["d-sid", "d-rid", "d-cache-status"]]
+
+# Categories of header names that fit a vendor's category.
+FITTING_CATEGORIES = {
+    "cdn": ["infrastructure", "caching", "performance"], "cms": ["infrastructure", "content-management"], "ecommerce": ["infrastructure", "commerce", "payment"], "analytics": ["tracking", "monitoring"],
+    "security": ["infrastructure", "security"], "framework": ["infrastructure", "development"], "hosting": ["infrastructure", "hosting"],
+}
+
+# Meta tags of any site, tracking scripts and common libraries, which filters for telling features leave out.
+UNIVERSAL_METAS = """viewport robots description charset author keywords content-type theme-color msapplication-tilecolor msapplication-config apple-mobile-web-app-capable apple-mobile-web-app-status-bar-style apple-mobile-web-app-title
+application-name msvalidate.01 google-site-verification yandex-verification p:domain_verify facebook-domain-verification twitter:card twitter:site twitter:creator og:type og:title og:description og:image og:url og:site_name og:locale""".split()
+TRACKING_SCRIPTS = """jquery bootstrap google-analytics gtag facebook-pixel facebook.net fbevents google-tag-manager googletagmanager googlesyndication doubleclick google-adservices googleadservices hotjar mixpanel segment intercom zendesk freshchat tawk crisp
+typekit fonts.googleapis cdnjs.cloudflare jsdelivr unpkg polyfill modernizr respond html5shiv""".split()
+COMMON_LIBRARIES = """lodash underscore moment axios fetch socket.io swiper owl.carousel slick fancybox lightbox photoswipe aos wow animate isotope masonry parallax scrollmagic waypoints sticky lazyload intersection-observer""".split()
+
+# Parts of script addresses by platform: part, category, platform.
+SCRIPT_PARTS = [
+    ("wp-admin", "cms", "WordPress"), ("wp-content/plugins", "cms", "WordPress"), ("wp-content/themes", "cms", "WordPress"), ("wp-includes", "cms", "WordPress"), ("woocommerce", "ecommerce", "WooCommerce"),
+    ("drupal", "cms", "Drupal"), ("modules/contrib", "cms", "Drupal"), ("modules/custom", "cms", "Drupal"), ("themes/contrib", "cms", "Drupal"), ("sites/default/files", "cms", "Drupal"),
+    ("joomla", "cms", "Joomla"), ("administrator", "cms", "Joomla"), ("components/com_", "cms", "Joomla"), ("modules/mod_", "cms", "Joomla"), ("templates/", "cms", "Joomla"),
+    ("ghost", "cms", "Ghost"), ("content/themes", "cms", "Ghost"), ("assets/built", "cms", "Ghost"),
+    ("shopify", "ecommerce", "Shopify"), ("shopifycloud", "ecommerce", "Shopify"), ("checkout.shopify", "ecommerce", "Shopify"), ("shopify-analytics", "ecommerce", "Shopify"),
+    ("magento", "ecommerce", "Magento"), ("pub/static", "ecommerce", "Magento"), ("adminhtml", "ecommerce", "Magento"), ("mage/", "ecommerce", "Magento"),
+    ("wix.com", "builder", "Wix"), ("wixstatic", "builder", "Wix"), ("parastorage", "builder", "Wix"), ("squarespace", "builder", "Squarespace"), ("sqspcdn", "builder", "Squarespace"), ("squarespace-analytics", "builder", "Squarespace"),
+    ("webflow", "builder", "Webflow"), ("uploads-ssl.webflow", "builder", "Webflow"),
+    ("react.development", "framework", "React"), ("react.production", "framework", "React"), ("react-dom", "framework", "React"), ("_next/static", "framework", "Next.js"), ("next/router", "framework", "Next.js"),
+    ("vue.js", "framework", "Vue.js"), ("vuex", "framework", "Vue.js"), ("nuxt", "framework", "Nuxt.js"), ("angular", "framework", "Angular"), ("@angular", "framework", "Angular"), ("ng-", "framework", "Angular"),
+    ("google-analytics", "analytics", "Google Analytics"), ("googletagmanager", "analytics", "Google Tag Manager"), ("gtag", "analytics", "Google Analytics 4"), ("omniture", "analytics", "Adobe Analytics"), ("adobe-analytics", "analytics", "Adobe Analytics"),
+    ("django", "backend", "Django"), ("admin/js", "backend", "Django"), ("rails", "backend", "Ruby on Rails"), ("turbo", "backend", "Ruby on Rails"), ("stimulus", "backend", "Ruby on Rails"),
+    ("jquery", "library", "jQuery"), ("jquery-ui", "library", "jQuery UI"), ("bootstrap", "library", "Bootstrap"),
+]
+SURE_SCRIPT_PARTS = ["wp-admin", "wp-content", "shopify", "drupal", "wix", "squarespace"]
+SCRIPT_CATEGORY_CONFIDENCE = {"cms": 0.85, "ecommerce": 0.9, "builder": 0.95, "framework": 0.8, "backend": 0.7, "analytics": 0.85, "hosting": 0.6, "library": 0.7}
+
+# Selectors counted on a page: name, and the pattern of an opening tag that it selects.
+SELECTORS = [
+    ('script[src*="wp-"]', r"<script\b[^>]*\bsrc\s*=\s*[\"'][^\"']*wp-"), ('link[href*="wp-"]', r"<link\b[^>]*\bhref\s*=\s*[\"'][^\"']*wp-"), ('script[src*="drupal"]', r"<script\b[^>]*\bsrc\s*=\s*[\"'][^\"']*drupal"),
+    ('script[src*="joomla"]', r"<script\b[^>]*\bsrc\s*=\s*[\"'][^\"']*joomla"), ('div[id*="wp-"]', r"<div\b[^>]*\bid\s*=\s*[\"'][^\"']*wp-"), ('div[class*="wp-"]', r"<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*wp-"),
+    ('body[class*="wp-"]', r"<body\b[^>]*\bclass\s*=\s*[\"'][^\"']*wp-"), ('html[class*="wp-"]', r"<html\b[^>]*\bclass\s*=\s*[\"'][^\"']*wp-"), ('link[href*="/sites/"]', r"<link\b[^>]*\bhref\s*=\s*[\"'][^\"']*/sites/"),
+    ('script[src*="/sites/"]', r"<script\b[^>]*\bsrc\s*=\s*[\"'][^\"']*/sites/"), ('div[id*="block-"]', r"<div\b[^>]*\bid\s*=\s*[\"'][^\"']*block-"), ('div[class*="block-"]', r"<div\b[^>]*\bclass\s*=\s*[\"'][^\"']*block-"),
+]
+
+# Columns of a flat export, in their order.
+EXPORT_COLUMNS = "url timestamp finalUrl statusCode cms confidence version redirectCount protocolUpgraded loadTime htmlSize metaTagCount scriptCount linkCount".split()
+
+# Script marks of one platform: mark, confidence.
+DUDA_SCRIPT_MARKS = [
+    ("window.parameters = window.parameters", 0.99), ("sitetype: atob('rfvequ9orq==')", 0.99), ("productid: 'dm_direct'", 0.98), ("blockcontainerselector: '.dmbody'", 0.98), ("systemid: 'us_direct_production'", 0.90), ('var d_version = "production_', 0.99),
+    ("irp.cdn-website.com", 0.85), ("lirp.cdn-website.com", 0.85), ("dudamobile.com", 0.80), ("dmalbum", 0.75), ("dmrespimg", 0.75), ("duda_website_builder", 0.70), ("_duda_", 0.70),
+]

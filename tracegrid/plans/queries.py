@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracegrid.plans import captures, features, names, pairs, records, validation
+from tracegrid.plans import captures, features, names, pairs, records, stored, telling, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (features, pairs, names, validation, captures, records)
+MODULES = (features, pairs, names, validation, captures, records, telling, stored)
 
 
 def queries() -> dict[str, Query]:
