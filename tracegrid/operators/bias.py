@@ -24,6 +24,7 @@ def _per_feature(obs: DataFrame, min_sites: int) -> DataFrame:
 def statistical_summary(obs: DataFrame, min_sites: int = 1) -> DataFrame:
     """One row: features, how many of them have adequate (5), marginal (2) and inadequate expected counts, mean chi-square,
     those significant at 5 %, and the concentration of the corpus as bias risk."""
+    obs = D.counted(obs)
     hhi = D.concentration(obs).select("hhi").scalar()
     per = _per_feature(obs, min_sites).withColumn("p", S.wide_p(F.col("x"), F.greatest(F.lit(1), F.col("k") - 1)))
     e = F.col("least_expected")
@@ -35,6 +36,7 @@ def statistical_summary(obs: DataFrame, min_sites: int = 1) -> DataFrame:
 
 def sample_adequacy(obs: DataFrame, min_sites: int = 1) -> DataFrame:
     """feature, sites, least, label: adequate from 30 sites with 5 on every platform, marginal from 15 with 3."""
+    obs = D.counted(obs)
     n, m = F.col("nf"), F.col("least")
     label = F.when((n >= 30) & (m >= 5), "adequate").when((n >= 15) & (m >= 3), "marginal").otherwise("inadequate")
     return _per_feature(obs, min_sites).select("feature", n.alias("sites"), m.alias("least"), label.alias("label"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.functions import stats as S
+from tracegrid.operators import discrimination as D
 from tracegrid.session import cut
 
 
@@ -157,8 +158,8 @@ def cell_tests(cells: DataFrame, total: Column) -> DataFrame:
 
 def binomial(obs: DataFrame, min_sites: int = 1) -> DataFrame:
     """feature, p_value, significant: site counts against a base rate of 5 %."""
-    n = obs.agg(F.count_distinct("site")).scalar()
-    per = obs.groupBy("feature").agg(F.count_distinct("site").alias("k")).where(F.col("k") >= min_sites).withColumn("n", n)
+    n = D.sites(obs)
+    per = D.features(obs).withColumnRenamed("n", "k").where(F.col("k") >= min_sites).withColumn("n", n)
     p = S.binomial_p(F.col("k"), F.col("n"))
     return per.select("feature", "k", F.round(p, 6).alias("p_value"), (p < S.ALPHA).alias("significant"))
 

@@ -10,16 +10,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.functions.stats import clamp, goodness_of_fit, ratio, wide_p, wilson_lower
+from tracegrid.session import cut
 
 NOISE = 0.1
 
 
+def counted(obs: DataFrame) -> DataFrame:
+    """The cube of an observation relation, written once. Every function here and the counts by feature take it in place of
+    the relation itself, so what needs many of them reads the raw tables once; a site has one platform, so nothing is lost."""
+    return cut(cube(obs))
+
+
+def is_counted(obs: DataFrame) -> bool:
+    return "level" in obs.columns
+
+
+def sites(obs: DataFrame) -> Column:
+    """The number of sites."""
+    return platforms(obs).agg(F.sum("np")).scalar() if is_counted(obs) else obs.agg(F.count_distinct("site")).scalar()
+
+
+def features(obs: DataFrame) -> DataFrame:
+    """feature, n: sites of each feature."""
+    if is_counted(obs):
+        return obs.where("level = 'feature'").select("feature", "n")
+    return obs.groupBy("feature").agg(F.count_distinct("site").alias("n"))
+
+
 def distinct_sites(obs: DataFrame) -> DataFrame:
     return obs.select("site", "platform", "feature").distinct()
 
 
 def platforms(obs: DataFrame) -> DataFrame:
     """platform, np: sites of each platform."""
+    if is_counted(obs):
+        return obs.where("level = 'platform'").select("platform", F.col("n").alias("np"))
     return obs.select("site", "platform").distinct().groupBy("platform").agg(F.count(F.lit(1)).alias("np"))
 
 
@@ -35,6 +60,9 @@ def cube(obs: DataFrame) -> DataFrame:
 
 def cells(obs: DataFrame, min_sites: int = 1) -> DataFrame:
     """feature, platform, n (sites with both), nf (sites with the feature), np (sites of the platform), f = n / np."""
+    if is_counted(obs):
+        nf = features(obs).where(F.col("n") >= min_sites).withColumnRenamed("n", "nf")
+        return obs.where("level = 'cell'").select("feature", "platform", "n").join(nf, "feature").join(platforms(obs), "platform").withColumn("f", F.col("n") / F.col("np"))
     per = distinct_sites(obs).groupBy("feature", "platform").agg(F.count(F.lit(1)).alias("n"))
     nf = F.sum("n").over(Window.partitionBy("feature"))
     return per.withColumn("nf", nf).where(F.col("nf") >= min_sites).join(platforms(obs), "platform").withColumn("f", F.col("n") / F.col("np"))
@@ -215,7 +243,7 @@ def platform_distribution(obs: DataFrame) -> DataFrame:
 
 def frequency_interval(obs: DataFrame, min_sites: int = 1) -> DataFrame:
     """feature, low, high: normal confidence interval of the frequency within 0 and 1, for frequencies strictly between."""
-    n = obs.agg(F.count_distinct("site")).scalar().cast("double")
-    per = obs.groupBy("feature").agg(F.count_distinct("site").alias("k")).where(F.col("k") >= min_sites).withColumn("p", F.col("k") / n)
+    n = sites(obs).cast("double")
+    per = features(obs).withColumnRenamed("n", "k").where(F.col("k") >= min_sites).withColumn("p", F.col("k") / n)
     m = 1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / n)
     return per.where("p > 0 and p < 1").select("feature", F.round(clamp(F.col("p") - m, 0, 1), 6).alias("low"), F.round(clamp(F.col("p") + m, 0, 1), 6).alias("high"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.functions.stats import ratio
+from tracegrid.operators import discrimination as D
 
 #: Names counted as security headers, and tag names that say nothing.
 SECURITY = ("strict-transport-security", "content-security-policy", "x-frame-options", "x-content-type-options", "x-xss-protection", "referrer-policy", "permissions-policy", "feature-policy")
@@ -18,8 +19,8 @@ def total_sites(obs: DataFrame) -> DataFrame:
 
 def feature_frequency(obs: DataFrame, min_sites: int = 1) -> DataFrame:
     """feature, site_count, frequency: sites that carry a feature, and their share of all sites."""
-    n = total_sites(obs).scalar()
-    counts = obs.groupBy("feature").agg(F.count_distinct("site").alias("site_count")).where(F.col("site_count") >= min_sites)
+    n = D.sites(obs)
+    counts = D.features(obs).withColumnRenamed("n", "site_count").where(F.col("site_count") >= min_sites)
     return counts.select("feature", "site_count", F.round(ratio(F.col("site_count"), n), 6).alias("frequency"))
 
 

@@ -22,7 +22,8 @@ def _row(df: DataFrame, stage: str, score: Column, passed: Column, metrics: dict
 
 def stages(obs: DataFrame, min_sites: int) -> DataFrame:
     """stage, score, passed, metric, value: frequency, sample size, distribution, correlation, sanity, significance."""
-    total = obs.agg(F.count_distinct("site")).scalar().cast("double")
+    obs = obs if D.is_counted(obs) else D.counted(obs)
+    total = D.sites(obs).cast("double")
     raw = Q.feature_frequency(obs)
     kept = raw.where(F.col("site_count") >= min_sites)
     n_kept = kept.agg(F.count(F.lit(1))).scalar()
@@ -33,7 +34,7 @@ def stages(obs: DataFrame, min_sites: int) -> DataFrame:
     rate = S.ratio(F.col("dropped"), F.col("all"))
     one = _row(a, "frequency", F.greatest(F.lit(0.5), 1 - 0.1 * F.col("warned") - 0.3 * rate), F.lit(True), {"filter_rate": rate, "warnings": F.col("warned")})
 
-    b = obs.agg(F.count_distinct("site").alias("n"))
+    b = D.platforms(obs).agg(F.sum("np").alias("n"))
     power = S.power(F.col("n"), 0.1)
     two = _row(b, "sample-size", (F.least(F.lit(1.0), F.col("n") / 30) + power) / 2, F.col("n") >= 5, {"sites": F.col("n"), "power": power, "required": S.min_sample(F.col("n"))})
 
@@ -101,10 +102,11 @@ def risk(obs: DataFrame, min_sites: int) -> DataFrame:
     Six factors: telling one platform (high), frequent on a dominant platform (high), rare and concentrated, too few sites,
     few significant platforms (medium each), one or two values only (low).
     """
-    total, k = obs.agg(F.count_distinct("site")).scalar().cast("double"), D.platforms(obs).agg(F.count(F.lit(1))).scalar()
-    spec = D.specificity(obs, min_sites)
-    fit = D.conditional(obs, min_sites).groupBy("feature").agg(F.count_if("significant").alias("sig"))
-    lead = D.cells(obs, min_sites).where("platform <> 'unknown'").groupBy("feature").agg(F.min(F.struct((-F.col("f")).alias("f"), "platform", "np")).alias("b"))
+    cube = D.counted(obs)
+    total, k = D.sites(cube).cast("double"), D.platforms(cube).agg(F.count(F.lit(1))).scalar()
+    spec = D.specificity(cube, min_sites)
+    fit = D.conditional(cube, min_sites).groupBy("feature").agg(F.count_if("significant").alias("sig"))
+    lead = D.cells(cube, min_sites).where("platform <> 'unknown'").groupBy("feature").agg(F.min(F.struct((-F.col("f")).alias("f"), "platform", "np")).alias("b"))
     m = overall_metrics(obs, min_sites)
     rows = m.join(spec, "feature").join(fit, "feature").join(lead, "feature", "left").withColumn("total", total)
     freq = F.col("sites") / F.col("total")
@@ -141,6 +143,7 @@ def warnings(obs: DataFrame) -> DataFrame:
 
 def sensitivity(obs: DataFrame, min_sites: int) -> DataFrame:
     """feature, sensitivity, label: specificity times largest P(platform | feature) times concentration, at most 1."""
+    obs = D.counted(obs)
     h = D.concentration(obs).select("hhi").scalar()
     top = D.cells(obs, min_sites).groupBy("feature").agg(F.max(F.col("n") / F.col("nf")).alias("p"))
     rows = D.specificity(obs, min_sites).join(top, "feature").withColumn("s", F.least(F.lit(1.0), F.col("specificity") * F.col("p") * h))
@@ -167,12 +170,13 @@ def dimension_support(scored: dict[str, DataFrame]) -> DataFrame:
     """
     out = None
     for dim, t in scored.items():
-        each = None
+        fits = []
         for p in SUPPORTED:
             spec = F.when(F.col("feature").rlike(_TELLING[p]), 0.95).when(F.col("feature").rlike(_NAMING[p]), 0.7).otherwise(0.1)
-            rows = t.where(F.col("feature").rlike(_RELEVANT[p])).select(F.lit(p).alias("platform"), F.lit(dim).alias("dim"), "discriminative_score", spec.alias("spec"), "frequency")
-            each = rows if each is None else each.unionByName(rows)
-        out = each if out is None else out.unionByName(each)
+            fits.append(F.when(F.col("feature").rlike(_RELEVANT[p]), F.struct(F.lit(p).alias("platform"), spec.alias("spec"))))
+        # One row per platform that a name fits, from one pass over the table.
+        rows = t.select(F.lit(dim).alias("dim"), "discriminative_score", "frequency", F.explode(F.array_compact(F.array(*fits))).alias("x")).select("dim", "discriminative_score", "frequency", "x.*")
+        out = rows if out is None else out.unionByName(rows)
     kept = out.where("discriminative_score > 0.3 and spec > 0.3")
     return kept.groupBy("platform", "dim").agg(F.round(F.avg(F.col("discriminative_score") * F.col("spec") * F.col("frequency")), 6).alias("support"), F.count(F.lit(1)).alias("patterns"))
 

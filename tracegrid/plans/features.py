@@ -98,23 +98,23 @@ def discrimination_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conditional_probability(spark: SparkSession, sf: str) -> DataFrame:
-    return D.conditional(O.headers(spark, sf), MIN)
+    return D.conditional(D.counted(O.headers(spark, sf)), MIN)
 
 
 def information_gain(spark: SparkSession, sf: str) -> DataFrame:
-    return D.information(O.headers(spark, sf), MIN)
+    return D.information(D.counted(O.headers(spark, sf)), MIN)
 
 
 def platform_specificity(spark: SparkSession, sf: str) -> DataFrame:
-    return D.specificity(O.words(spark, sf), MIN)
+    return D.specificity(D.counted(O.words(spark, sf)), MIN)
 
 
 def bias_adjustment(spark: SparkSession, sf: str) -> DataFrame:
-    return D.bias_adjustment(O.headers(spark, sf), MIN)
+    return D.bias_adjustment(D.counted(O.headers(spark, sf)), MIN)
 
 
 def chi_square_feature(spark: SparkSession, sf: str) -> DataFrame:
-    return D.chi_square(O.words(spark, sf), MIN)
+    return D.chi_square(D.counted(O.words(spark, sf)), MIN)
 
 
 def corpus_concentration(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,7 +46,7 @@ def sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 def dimension_support(spark: SparkSession, sf: str) -> DataFrame:
     m = O.mapped_headers(spark, sf)
-    third = lambda k: D.dense(m.where(F.length("feature") % 3 == k), MIN).withColumn("discriminative_score", F.greatest("discriminative_score", "entropy"))
+    third = lambda k: D.dense(D.counted(m.where(F.length("feature") % 3 == k)), MIN).withColumn("discriminative_score", F.greatest("discriminative_score", "entropy"))
     return V.dimension_support({"header": third(0), "meta": third(1), "script": third(2)})
 
 
