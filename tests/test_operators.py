@@ -158,6 +158,57 @@ def test_merkle_bridges(spark):
     assert merkle.bridges(df.limit(0), "t", F.col("id"), F.col("body")).count() == 0
 
 
+def test_merkle_walk_reaches_every_leaf(spark):
+    """Maps of structs, lists of lists, lists of maps, maps of maps and structs between them, against a walk in Python."""
+    from pyspark.sql import types as T
+
+    kind = "struct<a:map<string,struct<xs:array<string>,m:map<string,map<string,array<struct<z:array<int>>>>>>>,b:array<array<array<int>>>,c:array<map<string,array<string>>>,d:struct<e:struct<f:array<struct<g:map<string,int>>>>>,n:int>"
+    body = {
+        "a": {"k": {"xs": ["p", None], "m": {"o": {"i": [{"z": [1, None, 2]}, None]}, "none": None}}, "l": None},
+        "b": [[[1, 2], None, [3]], None, [[], [4]]], "c": [{"q": ["r", "s"]}, None, {"t": None}], "d": {"e": {"f": [{"g": {"h": 7, "i": None}}, {"g": None}]}}, "n": 5,
+    }
+    df = spark.createDataFrame([(1, body), (2, body)], f"id long, body {kind}")
+    of = df.schema["body"].dataType
+    want = []
+
+    def under(key, part):
+        return str(part) if key == "" else f"{key}.{part}"
+
+    def items(v, t, path, key):
+        for i, x in enumerate(v or []):
+            if x is not None:
+                want.append((path, key, i))
+                walk(x, t, path + ("[]" if isinstance(t, T.ArrayType) else "{}" if isinstance(t, T.MapType) else ""), under(key, i))
+
+    def walk(v, t, path, key):
+        if v is None:
+            return
+        if isinstance(t, T.StructType):
+            for f in t.fields:
+                walk(v.get(f.name), f.dataType, f"{path}.{f.name}" if path and isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else f.name, key)
+        elif isinstance(t, T.ArrayType):
+            items(v, t.elementType, path, key)
+        elif isinstance(t, T.MapType):
+            for k, x in v.items():
+                if isinstance(t.valueType, T.ArrayType):
+                    items(x, t.valueType.elementType, path, under(key, k))
+                elif x is not None:
+                    want.append((path, under(key, k), 0))
+                    walk(x, t.valueType, path + ("{}" if isinstance(t.valueType, T.MapType) else ""), under(key, k))
+
+    walk(body, of, "", "")
+    got = merkle.bridges(df, "t", F.col("id"), F.col("body"), content=True, roots=True).collect()
+    one = [r for r in got if r["owner_id"] == 1 and r["child_path"]]
+    assert sorted((r["child_path"], r["parent_key"], r["item_no"]) for r in one) == sorted(want) and len(want) == 23
+    held = {r["node_hash"] for r in got}
+    assert all(r["parent_hash"] in held for r in got if r["child_path"]) and sum(r["child_path"] == "" for r in got) == 2
+    # Equal objects have one identity and one content.
+    assert {r["node_hash"]: r["content"] for r in one} == {r["node_hash"]: r["content"] for r in got if r["owner_id"] == 2 and r["child_path"]}
+    # Rows that differ under one id all count.
+    two = spark.createDataFrame([(1, {"b": [[[1]]]}), (1, {"b": [[[2]]]})], f"id long, body {kind}")
+    assert merkle.bridges(two, "t", F.col("id"), F.col("body")).count() == 6
+
+
 def test_robots_documents(spark):
     docs = ['{"signals":"one","headers":{"a":["1",null],"b":"2","c":null},"robots":{"groups":{"userAgents":"*","disallows":[null,"/x"]}}}', '"{\\"signals\\":[\\"w\\"]}"', '{"signals":["cut', None, "[1,2]", "{}"]
     df = spark.createDataFrame(list(enumerate(docs)), "id int, doc string")
@@ -269,3 +320,51 @@ def test_technologies_versions_and_features(spark):
     assert sorted((r["id"], r["version"]) for r in best.collect()) == [(1, "6.4.2"), (2, "10"), (4, "4.2")]
     page = spark.createDataFrame([(1, "<link href='/wp-content/x'>", {"X-Pingback": ["u"]}, None), (2, None, None, None)], "id int, h string, m map<string,array<string>>, g string")
     assert {r["feature"] for r in T.features(page, "id", F.col("h"), F.col("m"), F.col("g")).collect()} == {"hasWpContent", "hasPingback"}
+
+
+def test_pages_and_their_parts(spark):
+    from tracegrid.operators import pages as P
+
+    html = """<a href='/a'>One <b>two</b></a><a class=x href="https://b.example/c">C</a><link rel="stylesheet" href="/s.css"><form><input type=text><input TYPE="Email"><select></select><input></form>
+    <script src="/wp-content/plugins/shop-kit/a.js?ver=1.2"></script><link href='/wp-content/plugins/seo/b.css'><div class="x wp-block"></div>"""
+    df = spark.createDataFrame([(html,), (None,)], "h string")
+    r, none = df.select(P.links(F.col("h")).alias("l"), P.stylesheets(F.col("h")).alias("s"), P.forms(F.col("h")).alias("f"), P.plugins(F.col("h")).alias("p"), P.selector_counts(F.col("h")).alias("c"), F.size(P.scripts(F.col("h"))).alias("n")).collect()
+    assert [(x["href"], x["text"]) for x in r["l"]] == [("/a", "One two"), ("https://b.example/c", "C")] and r["s"] == ["/s.css"] and r["n"] == 1
+    assert [(x["field_count"], x["field_types"]) for x in r["f"]] == [(4, ["email", "select", "text"])]
+    assert [(x["slug"], x["version"]) for x in r["p"]] == [("seo", None), ("shop-kit", "1.2")]
+    assert {x["selector"]: x["count"] for x in r["c"] if x["count"]} == {'script[src*="wp-"]': 1, 'link[href*="wp-"]': 1, 'div[class*="wp-"]': 1}
+    assert none["l"] == [] and none["p"] == [] and none["n"] == 0
+
+
+def test_own_addresses(spark):
+    from tracegrid.operators import pages as P
+
+    rows = [("see https://www.a.example/x/map.xml here", True, 1), ("see https://b.example/x/map.xml here", False, 0), ("Sitemap: /map.xml", True, 1), ("href=map.xml " + "y" * 60 + " map.xml", True, 2), ("nothing", False, 0), (None, False, 0)]
+    df = spark.createDataFrame([(t,) for t, _, _ in rows], "t string")
+    got = df.select(P.own_pattern(F.col("t"), F.lit("a.example"), "map.xml"), P.own_pattern_count(F.col("t"), F.lit("a.example"), "map.xml")).collect()
+    assert [(r[0], r[1]) for r in got] == [(o, n) for _, o, n in rows]
+
+
+def test_telling_filters(spark):
+    from tracegrid.operators import filters as X
+
+    df = spark.createDataFrame([(["Server", "date", "cf-ray", "x-own"], ["viewport", "generator"], ["/jquery.js", None, "/own.js", "/swiper.js"]), (None, None, None)], "h array<string>, m array<string>, s array<string>")
+    go = lambda level, custom=None: X.discriminative(df, F.col("h"), F.col("m"), F.col("s"), level, custom).select("headers", "metas", "scripts", F.round("reduction", 4)).collect()
+    assert tuple(go("conservative")[0]) == (["Server", "x-own"], ["generator"], ["/jquery.js", None, "/own.js", "/swiper.js"], round(65 / 210, 4))
+    assert go("aggressive")[0]["scripts"] == [None, "/own.js"] and go("custom", ["OWN"])[0]["scripts"] == ["/jquery.js", None, "/swiper.js"]
+    assert tuple(go("aggressive")[1]) == ([], [], [], 0.0)
+    obs = spark.createDataFrame([("a", "f"), ("b", "f")], "site string, feature string")
+    assert X.require_sites(obs, 2).count() == 2
+    with pytest.raises(Exception, match="fewer than 3 sites"):
+        X.require_sites(obs, 3).count()
+
+
+def test_signals_and_marks(spark):
+    from tracegrid.operators import pages as P
+
+    df = spark.createDataFrame([("<p>wp-json</p>", {"X-Pingback": ["u"], "Set-Cookie": ["wordpress_x=1", None]}, "Drupal 10", ["/sites/x.js", None]), (None, None, None, None)], "h string, m map<string,array<string>>, g string, s array<string>")
+    got = df.select(P.signals(F.col("h"), F.col("m"), F.col("g"), F.col("s")).alias("x"), P.duda_confidence(F.col("h")).alias("d")).collect()
+    assert {(x["signal"], x["platform"]) for x in got[0]["x"]} == {("html:wp-json", "WordPress"), ("header:x-pingback", "WordPress"), ("cookie:wordpress", "WordPress"), ("script:/sites/", "Drupal"), ("meta:generator", "Drupal"), ("meta:generator", "any")}
+    assert got[1]["x"] == [] and got[0]["d"] == 0
+    d = spark.createDataFrame([("SystemID: 'US_DIRECT_PRODUCTION' dmalbum",)], "t string").select(P.duda_confidence(F.col("t"))).first()[0]
+    assert d == pytest.approx((0.9 + 0.75) / 2 + 0.1)

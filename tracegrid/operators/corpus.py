@@ -37,6 +37,14 @@ def deduplicated(df: DataFrame, url: str, order: Column, first: str) -> DataFram
     return df.groupBy(normalized_url(F.col(url)).alias("normalized_url")).agg(best.alias("_r"), F.count(F.lit(1)).alias("n_rows")).select("normalized_url", "n_rows", "_r.*")
 
 
+def once(df: DataFrame, key: str, **cols: Column) -> DataFrame:
+    """key and the columns, one row per key: what is asked for is computed first, so that whole pages are not shuffled.
+
+    Of rows that differ under one key the smallest in the order of the columns is kept.
+    """
+    return df.select(key, *[c.alias(k) for k, c in cols.items()]).groupBy(key).agg(F.min(F.struct(*cols)).alias("_r")).select(key, "_r.*")
+
+
 def in_range(when: Column, start: str | None = None, end: str | None = None, last_days: int | None = None, now: Column | None = None) -> Column:
     """Inclusive date range; ``last_days`` alone decides when given, from midnight that many days ago."""
     if last_days is not None:

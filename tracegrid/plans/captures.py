@@ -98,7 +98,9 @@ _PATHS = [("/admin/", "/wp-admin/"), ("/search", "/wp-content/"), ("/tmp/", "/mo
 
 
 def wall_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return C.wall_verdicts(table(spark, sf, "captures").dropDuplicates(["capture_id"]), "capture_id", F.coalesce("page_data.html_content", F.lit("")))
+    t = table(spark, sf, "captures")
+    v = C.wall_verdicts(t, "capture_id", F.concat_ws(" ", "page_data.html_content", F.col("page_data.metadata")["title"], "url", F.to_json("page_data.http_info.headers")))
+    return C.once(v, "capture_id", **{c: F.col(c) for c in v.columns if c != "capture_id"})
 
 
 def wall_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,16 +128,14 @@ def index_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def platform_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Per platform: captures, mean scripts, forms, html size and technologies, and the share of status 200."""
-    t = table(spark, sf, "captures").dropDuplicates(["capture_id"]).withColumn("site", O.host(F.col("url"))).join(O.site_platform(spark, sf), "site", "left")
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
     mean = lambda c: F.round(F.avg(c), 4)
+    cols = {"site": O.host(F.col("url")), "scripts": size("page_data.scripts"), "forms": size("page_data.forms"), "html_size": F.length("page_data.html_content"), "technologies": size("detection_result.all_technologies"), "status": F.col("status_code")}
+    t = C.once(table(spark, sf, "captures"), "capture_id", **cols).join(O.site_platform(spark, sf), "site", "left")
     return t.groupBy(F.coalesce("platform", F.lit("unknown")).alias("platform")).agg(
         F.count(F.lit(1)).alias("captures"),
-        mean(F.when(F.col("page_data.scripts").isNull(), 0).otherwise(size("page_data.scripts"))).alias("scripts"),
-        mean(F.when(F.col("page_data.forms").isNull(), 0).otherwise(size("page_data.forms"))).alias("forms"),
-        mean(F.length("page_data.html_content")).alias("html_size"),
-        mean(F.when(F.col("detection_result.all_technologies").isNull(), 0).otherwise(size("detection_result.all_technologies"))).alias("technologies"),
-        F.round(F.count_if(F.col("status_code") == 200) / F.count(F.lit(1)), 6).alias("ok"),
+        *[mean(F.col(c)).alias(c) for c in ("scripts", "forms", "html_size", "technologies")],
+        F.round(F.count_if(F.col("status") == 200) / F.count(F.lit(1)), 6).alias("ok"),
     )
 
 
@@ -144,8 +144,8 @@ def best_of_detectors(spark: SparkSession, sf: str) -> DataFrame:
     html = F.coalesce("page_data.html_content", F.lit(""))
     for a, b in _STAND_INS:
         html = F.replace(html, F.lit(a), F.lit(b))
-    t = table(spark, sf, "captures").dropDuplicates(["capture_id"])
-    return D.detected(t, "capture_id", html, F.col("page_data.http_info.headers"), F.col("page_data.metadata")["generator"])
+    found = D.detected(table(spark, sf, "captures"), "capture_id", html, F.col("page_data.http_info.headers"), F.col("page_data.metadata")["generator"])
+    return C.once(found, "capture_id", confidence=F.col("confidence"), platform=F.col("platform")).select("capture_id", "platform", "confidence")
 
 
 _STAND_INS = [("sitemap", "/wp-content/"), ("plugin folder", "/wp-includes/"), ("redirect", "/administrator/"), ("certificate", "/components/"), ("meta tag", "/templates/"), ("robots check", "/core/"), ("theme", "dmalbum")]
@@ -209,8 +209,7 @@ def capture_features(spark: SparkSession, sf: str) -> DataFrame:
     html = F.coalesce("page_data.html_content", F.lit(""))
     for a, b in _STAND_INS:
         html = F.replace(html, F.lit(a), F.lit(b))
-    t = table(spark, sf, "captures").dropDuplicates(["capture_id"])
-    per = T.features(t, "capture_id", html, F.col("page_data.http_info.headers"), F.col("page_data.metadata")["generator"])
+    per = T.features(table(spark, sf, "captures"), "capture_id", html, F.col("page_data.http_info.headers"), F.col("page_data.metadata")["generator"])
     return per.groupBy("platform", "feature", "confidence").agg(F.count_distinct("capture_id").alias("captures"))
 
 
@@ -272,7 +271,7 @@ SELECT record_id, CASE WHEN best > .3 THEN CASE {' '.join(f"WHEN {x} = best THEN
 
 def _walls_sql() -> str:
     hits = ", ".join(f"CASE WHEN {_like('t', ind)} THEN {{'name': '{n}', 'c': {c}::DOUBLE, 'r': {d}, 'i': {i}}} END" for i, (n, _, _, c, d, ind) in enumerate(K.WALLS))
-    return f"""WITH cp AS (SELECT DISTINCT capture_id, lower(coalesce(page_data.html_content, '')) AS t FROM captures), w AS (SELECT capture_id, list_filter([{hits}], lambda x: x IS NOT NULL) AS w FROM cp),
+    return f"""WITH cp AS (SELECT DISTINCT capture_id, lower(concat_ws(' ', page_data.html_content, page_data.metadata['title'], url, page_data.http_info.headers::VARCHAR)) AS t FROM captures), w AS (SELECT capture_id, list_filter([{hits}], lambda x: x IS NOT NULL) AS w FROM cp),
 v AS (SELECT *, list_avg(list_transform(w, lambda x: x.c)) AS m, list_max(list_transform(w, lambda x: x.r)) AS h FROM w)
 SELECT capture_id, len(w)::INT AS walls, coalesce(list_sort(list_transform(w, lambda x: {{'c': -x.c, 'i': x.i, 'name': x.name}}))[1].name, 'none') AS primary_wall,
   CASE WHEN len(w) = 0 THEN 'low' WHEN h >= 4 OR m >= .9 - 1e-12 THEN 'critical' WHEN h >= 3 OR m >= .8 - 1e-12 THEN 'high' WHEN h >= 2 OR m >= .6 - 1e-12 THEN 'medium' ELSE 'low' END AS risk FROM v"""

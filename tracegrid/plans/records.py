@@ -65,11 +65,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("load * 20 >= total").select("table_name", "cms_key")
 
 
-def _children(spark: SparkSession, sf: str, content: bool = False) -> DataFrame:
+def _children(spark: SparkSession, sf: str, content: bool = False, roots: bool = False) -> DataFrame:
     captures, sites = table(spark, sf, "captures"), table(spark, sf, "site_analyses")
     page = F.struct(*[F.col(f"page_data.{c}").alias(c.split(".")[-1]) for c in ("http_info.headers", "metadata", "scripts", "forms")])
-    a = merkle.bridges(captures, "captures", F.col("capture_id"), page, content)
-    return a.unionByName(merkle.bridges(sites, "site_analyses", F.col("record_id"), merkle.robots_document(F.col("robots_analysis")), content))
+    a = merkle.bridges(captures, "captures", F.col("capture_id"), page, content, roots)
+    return a.unionByName(merkle.bridges(sites, "site_analyses", F.col("record_id"), merkle.robots_document(F.col("robots_analysis")), content, roots))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,13 +77,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_bridges(spark: SparkSession, sf: str) -> DataFrame:
-    """Every occurrence of a child with the identities of itself and its parent."""
-    return _children(spark, sf)
+    """Every occurrence of a child with the identities of itself and its parent, and the records themselves as roots."""
+    return _children(spark, sf, roots=True)
 
 
 def p4_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every distinct child object once, with its content and the number of its occurrences."""
-    return merkle.nodes(_children(spark, sf, content=True))
+    """Every distinct object once, with its content and the number of its occurrences; roots are objects, too."""
+    return merkle.nodes(_children(spark, sf, content=True, roots=True))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

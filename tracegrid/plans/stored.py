@@ -25,12 +25,8 @@ CUSTOM = ["/loader", "shared"]
 
 
 def _captures(spark: SparkSession, sf: str, **cols: F.Column) -> DataFrame:
-    """capture_id and the columns, of every capture once: what is asked for is taken first, so that pages are not shuffled.
-
-    Rows that differ under one id keep the smallest in the order of the columns.
-    """
-    t = table(spark, sf, "captures").select("capture_id", *[c.alias(k) for k, c in cols.items()])
-    return t.groupBy("capture_id").agg(F.min(F.struct(*cols)).alias("_r")).select("capture_id", "_r.*")
+    """capture_id and the columns, of every capture once."""
+    return C.once(table(spark, sf, "captures"), "capture_id", **cols)
 
 
 def _html() -> F.Column:
