@@ -15,11 +15,14 @@ ordinary text; repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +43,15 @@ def byte_letters() -> dict[str, int]:
 class Encoder:
     """A vocabulary file of the ``tokenizers`` library, ready to encode."""
 
-    def __init__(self, path: str = DEFAULT_VOCABULARY, pattern: str = PIECES) -> None:
+    def __init__(self, path: str = DEFAULT_VOCABULARY, pattern: str = PIECES, packed: bytes | None = None) -> None:
         import ahocorasick
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        if packed is None:
+            with open(path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+        else:
+            model = json.loads(zlib.decompress(packed))["model"]
         byte = byte_letters()
         vocab: dict[str, int] = model["vocab"]
         raw = {t: "".join(chr(byte[c]) for c in t) for t in vocab if all(c in byte for c in t)}
@@ -133,11 +139,19 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str = DEFAULT_VOCABULARY, pattern: str = PIECES) -> Encoder:
-    """The encoder of this process for a vocabulary file; built once."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+def encoder(shipped: Broadcast[tuple[str, bytes]]) -> Encoder:
+    """The encoder of this process for a vocabulary that came with the job; built once for each content."""
+    digest, packed = shipped.value
+    if (digest, PIECES) not in _ENCODERS:
+        _ENCODERS[digest, PIECES] = Encoder(packed=packed)
+    return _ENCODERS[digest, PIECES]
+
+
+def shipped(df: DataFrame, path: str) -> Broadcast[tuple[str, bytes]]:
+    """A vocabulary file as a broadcast value, so that only the driver needs the file. It is about a megabyte, whatever the data."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    return df.sparkSession.sparkContext.broadcast((hashlib.md5(raw).hexdigest(), zlib.compress(raw, 6)))
 
 
 def _lists(each: Iterable[list[int]]) -> pa.ListArray:
@@ -161,9 +175,10 @@ def encode_table(df: DataFrame, id_col: str, text: Column, path: str = DEFAULT_V
     """doc_id and ids: the token ids of every text; one row per row."""
     rows = spread(df.select(F.col(id_col).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")), "doc_id")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    vocabulary = shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(vocabulary)
         for b in batches:
             ids = _lists(enc.encode(t) for t in b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
@@ -175,9 +190,10 @@ def count_table(df: DataFrame, id_col: str, text: Column, path: str = DEFAULT_VO
     """doc_id and n_tokens: the size of every text."""
     rows = spread(df.select(F.col(id_col).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")), "doc_id")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    vocabulary = shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(vocabulary)
         for b in batches:
             n = pa.array([len(enc.encode(t)) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n], ["doc_id", "n_tokens"])
