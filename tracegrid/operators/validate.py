@@ -1,4 +1,4 @@
-"""Validation of feature frequencies in six measured stages and a verdict, and the bias of a corpus towards platforms.
+"""Validation of feature frequencies in seven measured stages and a verdict, and the bias of a corpus towards platforms.
 
 Stages are independent aggregates over one table of features (feature, site_count, frequency) and the cells of the cube;
 each gives one row of metrics, so the pipeline is a union and its verdict an aggregate of that union.
@@ -15,13 +15,14 @@ from tracegrid.operators import discrimination as D
 from tracegrid.operators import frequency as Q
 
 
-def _row(df: DataFrame, stage: str, score: Column, passed: Column, metrics: dict[str, Column]) -> DataFrame:
+def _row(df: DataFrame, stage: str, score: Column, passed: Column, metrics: dict[str, Column], digits: int = 5) -> DataFrame:
     named = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.round(v.cast("double"), 5)) for k, v in metrics.items()]))
-    return df.select(F.lit(stage).alias("stage"), F.round(score, 5).alias("score"), passed.alias("passed"), F.explode(named).alias("metric", "value"))
+    return df.select(F.lit(stage).alias("stage"), F.round(score, digits).alias("score"), passed.alias("passed"), F.explode(named).alias("metric", "value"))
 
 
-def stages(obs: DataFrame, min_sites: int) -> DataFrame:
-    """stage, score, passed, metric, value: frequency, sample size, distribution, correlation, sanity, significance."""
+def stages(obs: DataFrame, min_sites: int, digits: int = 5) -> DataFrame:
+    """stage, score, passed, metric, value: frequency, sample size, distribution, correlation, sanity, significance and the
+    recommendations that these give rise to, with their mean confidence."""
     obs = obs if D.is_counted(obs) else D.counted(obs)
     total = D.sites(obs).cast("double")
     raw = Q.feature_frequency(obs)
@@ -32,34 +33,48 @@ def stages(obs: DataFrame, min_sites: int) -> DataFrame:
         F.count(F.lit(1)).alias("all"), F.count_if(F.col("site_count") < min_sites).alias("dropped"), F.count_if((F.col("site_count") >= min_sites) & (((F.col("frequency") < 0.01) & (F.col("site_count") < 5)) | (F.col("frequency") > 0.95))).alias("warned")
     )
     rate = S.ratio(F.col("dropped"), F.col("all"))
-    one = _row(a, "frequency", F.greatest(F.lit(0.5), 1 - 0.1 * F.col("warned") - 0.3 * rate), F.lit(True), {"filter_rate": rate, "warnings": F.col("warned")})
+    one = _row(a, "frequency", F.greatest(F.lit(0.5), 1 - 0.1 * F.col("warned") - 0.3 * rate), F.lit(True), {"filter_rate": rate, "warnings": F.col("warned")}, digits)
 
     b = D.platforms(obs).agg(F.sum("np").alias("n"))
     power = S.power(F.col("n"), 0.1)
-    two = _row(b, "sample-size", (F.least(F.lit(1.0), F.col("n") / 30) + power) / 2, F.col("n") >= 5, {"sites": F.col("n"), "power": power, "required": S.min_sample(F.col("n"))})
+    two = _row(b, "sample-size", (F.least(F.lit(1.0), F.col("n") / 30) + power) / 2, F.col("n") >= 5, {"sites": F.col("n"), "power": power, "required": S.min_sample(F.col("n"))}, digits)
 
     out = C.outliers(kept).agg(F.count(F.lit(1))).scalar()
     c = C.moments(kept)
     skew = F.abs(F.coalesce(F.col("skewness"), F.lit(0.0)))
     score = F.when(skew > 3, 0.56).when(skew > 2, 0.8).otherwise(1.0) * F.greatest(F.lit(0.5), 1 - out * 0.1) * (0.5 + 0.5 * F.coalesce(F.col("coverage"), F.lit(0.0)))
-    three = _row(c, "distribution", score, F.lit(True), {"skewness": F.coalesce(F.col("skewness"), F.lit(0.0)), "outliers": out, "coverage": F.coalesce(F.col("coverage"), F.lit(0.0))})
+    three = _row(c, "distribution", score, F.lit(True), {"skewness": F.coalesce(F.col("skewness"), F.lit(0.0)), "outliers": out, "coverage": F.coalesce(F.col("coverage"), F.lit(0.0))}, digits)
 
     sizes = D.platforms(obs)
     balance = sizes.select((F.col("np") / total).alias("p")).agg(S.ratio(-F.sum(F.col("p") * F.log2("p")), F.log2(F.count(F.lit(1))))).scalar()
     cells = D.cells(obs, min_sites)
     biggest = cells.groupBy("feature", "nf").agg(F.max("np").alias("m")).withColumn("r", F.least(F.lit(1.0), F.col("nf") / F.col("m")))
     d = biggest.agg(F.coalesce(F.avg("r"), F.lit(0.8)).alias("r"), F.count_if(F.col("r") > 0.95).alias("high"))
-    four = _row(d, "correlation", (balance + F.col("r")) / 2, F.lit(True), {"balance": balance, "mean_correlation": F.col("r"), "high": F.col("high")})
-
-    e = cells.withColumn("p", F.col("n") / F.col("nf")).groupBy("feature", "nf").agg(F.sum("p").alias("s"), F.sum("n").alias("n"), F.count_if((F.col("p") < 0) | (F.col("p") > 1)).alias("out"), F.count_if((F.col("p") > 0.7) & (F.col("nf") < 30)).alias("weak"))
-    e = e.agg(F.count_if(F.abs(F.col("s") - 1) > 0.01).alias("sums"), F.sum("out").alias("out"), F.count_if(F.col("weak") > 0).alias("weak"), F.count_if(F.col("n") != F.col("nf")).alias("counts"))
-    broken = (F.col("sums") > 0).cast("int") + (F.col("out") > 0).cast("int") + (F.col("counts") > 0).cast("int")
-    five = _row(e, "sanity", 1 - broken / 3, broken == 0, {"sums": F.col("sums"), "ranges": F.col("out"), "weak_support": F.col("weak"), "counts": F.col("counts")})
+    four = _row(d, "correlation", (balance + F.col("r")) / 2, F.lit(True), {"balance": balance, "mean_correlation": F.col("r"), "high": F.col("high")}, digits)
+
+    # Six checks: shares add up, lie within 0 and 1, are borne by thirty sites if high (a warning), agree by Bayes' rule (a
+    # warning), sites are conserved, and no cell exceeds its feature.
+    p, left, right = F.col("n") / F.col("nf"), F.col("n") / F.col("nf") * (F.col("nf") / total), F.col("f") * F.col("np") / total
+    e = cells.groupBy("feature", "nf").agg(
+        F.sum(p).alias("s"), F.sum("n").alias("n"), F.count_if((p < 0) | (p > 1)).alias("out"), F.count_if((p > 0.7) & (F.col("n") < 30)).alias("weak"),
+        F.count_if(F.abs(left - right) / F.greatest(left, right, F.lit(0.001)) > 0.05).alias("bayes"), F.count_if(F.col("n") > F.col("nf")).alias("over"),
+    )
+    e = e.agg(F.count_if(F.abs(F.col("s") - 1) > 0.01).alias("sums"), F.sum("out").alias("out"), F.sum("weak").alias("weak"), F.sum("bayes").alias("bayes"), F.count_if(F.col("n") != F.col("nf")).alias("counts"), F.sum("over").alias("over"))
+    e = e.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in e.columns])
+    broken = sum(((F.col(c) > 0).cast("int") for c in ("out", "counts", "over")), (F.col("sums") > 0).cast("int"))
+    sane = F.when(broken == 0, F.greatest(F.lit(0.7), 1 - (F.col("weak") + F.col("bayes")) * 0.1)).otherwise(F.greatest(F.lit(0.2), (6 - broken) / 6))
+    five = _row(e, "sanity", sane, broken == 0, {"sums": F.col("sums"), "ranges": F.col("out"), "weak_support": F.col("weak"), "bayes": F.col("bayes"), "counts": F.col("counts"), "impossible": F.col("over")}, digits)
 
     f = C.binomial(obs, min_sites).agg(F.count_if("significant").alias("k"))
     share = S.ratio(F.col("k"), n_kept)
-    six = _row(f, "significance", F.greatest(F.lit(0.3), share), F.lit(True), {"significant": F.col("k"), "rate": share})
-    return one.unionByName(two).unionByName(three).unionByName(four).unionByName(five).unionByName(six)
+    six = _row(f, "significance", F.greatest(F.lit(0.3), share), F.lit(True), {"significant": F.col("k"), "rate": share}, digits)
+
+    # What the stages recommend: more data for a high filter rate (.8) or low power (.9), wider coverage (.7), repair of checks.
+    facts = [a.select(rate.alias("rate")).select("rate").scalar(), b.select(power.alias("p")).select("p").scalar(), c.select("coverage").scalar(), e.select(broken.alias("b")).select("b").scalar()]
+    asked = F.array_compact(F.array(F.when(facts[0] > 0.5, 0.8), F.when(facts[1] < 0.8, 0.9), F.when(F.coalesce(facts[2], F.lit(0.0)) < 0.5, 0.7), F.when(facts[3] > 3, 0.9).when(facts[3] > 0, 0.8)))
+    g = b.select(asked.alias("r")).select(F.size("r").alias("k"), F.when(F.size("r") == 0, 1.0).otherwise(F.aggregate("r", F.lit(0.0), lambda x, y: x + y) / F.size("r")).alias("m"))
+    seven = _row(g, "recommendation", (F.col("m") + 1) / 2, F.lit(True), {"recommendations": F.col("k"), "mean_confidence": F.col("m")}, digits)
+    return one.unionByName(two).unionByName(three).unionByName(four).unionByName(five).unionByName(six).unionByName(seven)
 
 
 def verdict(found: DataFrame) -> DataFrame:

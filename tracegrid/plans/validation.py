@@ -21,7 +21,7 @@ def validation_stages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validation_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return V.verdict(V.stages(O.words(spark, sf), MIN))
+    return V.verdict(V.stages(O.words(spark, sf), MIN, 12))
 
 
 def platform_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,19 +76,20 @@ def oracle_sql() -> dict[str, str]:
 s1 AS (SELECT count(*) FILTER (WHERE k < {MIN}) / count(*)::DOUBLE AS r, count(*) FILTER (WHERE k >= {MIN} AND ((f < .01 AND k < 5) OR f > .95)) AS w FROM f0),
 s3 AS (SELECT avg(f) AS mu, stddev_pop(f) AS sd, round(max(f) - min(f), 6) AS cov FROM f), s3b AS (SELECT round(avg(pow(f - mu, 3)) / pow(any_value(sd), 3), 4) AS sk, count(*) FILTER (WHERE abs(round((f - mu) / sd, 5)) > 2.5) AS o, any_value(cov) AS cov FROM f, s3),
 bal AS (SELECT -sum(np / total * log2(np / total)) / log2(count(*)) AS b FROM pl, t), s4 AS (SELECT avg(r) AS r, count(*) FILTER (WHERE r > .95) AS hi FROM (SELECT least(1, nf / max(np)::DOUBLE) AS r FROM c GROUP BY feature, nf)),
-s5 AS (SELECT count(*) FILTER (WHERE abs(s - 1) > .01) AS sums, count(*) FILTER (WHERE weak > 0) AS weak, count(*) FILTER (WHERE sn <> nf) AS cnt FROM (SELECT feature, nf, sum(n / nf::DOUBLE) AS s, sum(n) AS sn, count(*) FILTER (WHERE n / nf::DOUBLE > .7 AND nf < 30) AS weak FROM c GROUP BY ALL)),
+s5 AS (SELECT count(*) FILTER (WHERE abs(s - 1) > .01) AS sums, sum(weak)::BIGINT AS weak, count(*) FILTER (WHERE sn <> nf) AS cnt, sum(ov)::BIGINT AS ov FROM (SELECT feature, nf, sum(n / nf::DOUBLE) AS s, sum(n) AS sn, count(*) FILTER (WHERE n / nf::DOUBLE > .7 AND n < 30) AS weak, count(*) FILTER (WHERE n > nf) AS ov FROM c GROUP BY ALL)),
 bi AS (SELECT feature, CASE WHEN n >= 30 AND n * .05 >= 5 THEN 2 * (1 - .5 * (1 + sqrt(1 - exp(-2 * pow((k - n * .05) / sqrt(n * .05 * .95), 2) / 3.141592653589793)))) WHEN k < n * .05 THEN .5 ELSE .01 END AS p FROM f, n), s6 AS (SELECT count(*) FILTER (WHERE p < .05) AS k, count(*) AS m FROM bi),
 al AS (
 SELECT 'frequency' AS stage, greatest(.5, 1 - .1 * w - .3 * r) AS score, true AS passed, unnest(['filter_rate', 'warnings']) AS metric, unnest([r, w]) AS value FROM s1
 UNION ALL SELECT 'sample-size', (least(1, n / 30.0) + greatest(.3, least(1, n / 200.0))) / 2, n >= 5, unnest(['sites', 'power', 'required']), unnest([n, greatest(.3, least(1, n / 200.0)), ceil(384.16 / (1 + 383.16 / n))]) FROM n
 UNION ALL SELECT 'distribution', CASE WHEN abs(sk) > 3 THEN .56 WHEN abs(sk) > 2 THEN .8 ELSE 1 END * greatest(.5, 1 - o * .1) * (.5 + .5 * cov), true, unnest(['skewness', 'outliers', 'coverage']), unnest([sk, o, cov]) FROM s3b
 UNION ALL SELECT 'correlation', (b + r) / 2, true, unnest(['balance', 'mean_correlation', 'high']), unnest([b, r, hi]) FROM bal, s4
-UNION ALL SELECT 'sanity', 1 - ((sums > 0)::INT + (cnt > 0)::INT) / 3.0, sums = 0 AND cnt = 0, unnest(['sums', 'ranges', 'weak_support', 'counts']), unnest([sums, 0, weak, cnt]) FROM s5
-UNION ALL SELECT 'significance', greatest(.3, k / m::DOUBLE), true, unnest(['significant', 'rate']), unnest([k, k / m::DOUBLE]) FROM s6)
-SELECT stage, round(score, 5)::DOUBLE AS score, passed, metric, round(value::DOUBLE, 5) AS value FROM al"""
+UNION ALL SELECT 'sanity', CASE WHEN sums + cnt + ov = 0 THEN greatest(.7, 1 - weak * .1) ELSE greatest(.2, (6 - (sums > 0)::INT - (cnt > 0)::INT - (ov > 0)::INT) / 6.0) END, sums = 0 AND cnt = 0 AND ov = 0, unnest(['sums', 'ranges', 'weak_support', 'bayes', 'counts', 'impossible']), unnest([sums, 0, weak, 0, cnt, ov]) FROM s5
+UNION ALL SELECT 'significance', greatest(.3, k / m::DOUBLE), true, unnest(['significant', 'rate']), unnest([k, k / m::DOUBLE]) FROM s6
+UNION ALL SELECT 'recommendation', (coalesce(list_avg(r), 1) + 1) / 2, true, unnest(['recommendations', 'mean_confidence']), unnest([len(r), coalesce(list_avg(r), 1)]) FROM (SELECT list_filter([CASE WHEN s1.r > .5 THEN .8 END, CASE WHEN greatest(.3, least(1, n / 200.0)) < .8 THEN .9 END, CASE WHEN cov < .5 THEN .7 END, CASE WHEN sums + cnt + ov > 0 THEN .8 END], lambda z: z IS NOT NULL) AS r FROM s1, n, s3b, s5))
+SELECT stage, round(score, @D)::DOUBLE AS score, passed, metric, round(value::DOUBLE, 5) AS value FROM al"""
     return {
-        "validation_stages": stages,
-        "validation_verdict": f"""WITH p AS (SELECT DISTINCT stage, score, passed FROM ({stages})), a AS (SELECT exp(sum(ln(greatest(score * CASE WHEN passed THEN 1 ELSE .5 END, 1e-9)))) AS s, bool_and(passed) AS ok, count(*) AS stages FROM p)
+        "validation_stages": stages.replace("@D", "5"),
+        "validation_verdict": f"""WITH p AS (SELECT DISTINCT stage, score, passed FROM ({stages.replace("@D", "12")})), a AS (SELECT exp(sum(ln(greatest(score * CASE WHEN passed THEN 1 ELSE .5 END, 1e-9)))) AS s, bool_and(passed) AS ok, count(*) AS stages FROM p)
 SELECT stages, round(s, 4) AS score, CASE WHEN s >= .9 THEN 'A' WHEN s >= .8 THEN 'B' WHEN s >= .7 THEN 'C' WHEN s >= .6 THEN 'D' ELSE 'F' END AS grade, ok AND s >= .7 AS passed FROM a""",
         "platform_metrics": f"""WITH {h}, {_CELLS}, vv AS (SELECT feature, platform, value, count(DISTINCT site) AS k FROM obs WHERE value IS NOT NULL GROUP BY ALL), sp2 AS (SELECT feature, platform, count(*) AS values, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h FROM vv GROUP BY ALL),
 x AS (SELECT *, nf / total AS q, nf / total * np AS e FROM c LEFT JOIN sp2 USING (feature, platform))
