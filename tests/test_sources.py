@@ -60,3 +60,27 @@ def test_stream_counts_match_batch(spark, tmp_path):
     ingest.run_available(obs.select("site_host", "feature", "header_value", "page_kind"), str(tmp_path / "ck"), "streamed")
     want = t.where("site_host is not null and header_name is not null").selectExpr("site_host", "lower(header_name)", "header_value", "page_kind").distinct().count()
     assert spark.table("streamed").count() == want
+
+
+def test_reports_tell_what_they_leave_out(spark):
+    df = spark.range(60).selectExpr("id AS a", "'x' AS b").orderBy("a")
+    assert "... 50 more rows" in render({"rows": df}, "markdown", 10) and "more rows" not in render({"rows": df}, "csv", 60)
+
+
+def test_functions_in_sql(spark):
+    from tracegrid.session import register
+
+    names = register(spark, [("tg_twice", "x INT", "INT", "x * 2")])
+    assert "tg_twice" in names
+    r = spark.sql("SELECT tg_host('HTTPS://www.A.example/x'), tg_platform('  WordPress '), tg_platform(NULL), tg_share(1, 0), tg_twice(4), round(tg_wilson_lower(8, 10), 6)").first()
+    assert tuple(r) == ("a.example", "wordpress", "unknown", 0.0, 8, pytest.approx(0.490162, abs=1e-5))
+
+
+def test_tables_of_any_size(spark):
+    from tracegrid.operators.bias import table_test
+
+    df = spark.createDataFrame([("a", "x", 10), ("a", "y", 20), ("b", "x", 30), ("b", "y", 5), ("c", "x", 7)], "r string, c string, n long")
+    r = table_test(df, "r", "c", "n").first()
+    assert (r["rows"], r["columns"], r["df"]) == (3, 2, 2) and r["statistic"] == pytest.approx(23.6790, abs=1e-3) and r["p_value"] == 0.04 and r["critical"] == 5.991
+    two = table_test(df.where("r <> 'c'"), "r", "c", "n").first()
+    assert two["df"] == 1 and two["statistic"] == pytest.approx(16.5785, abs=1e-3)

@@ -85,3 +85,19 @@ def wide_p(x: Column, df: Column) -> Column:
     two = F.when(x >= 5.99, 0.05).otherwise(0.1)
     more = F.when(x >= 6.64 + (df - 1) * 2.5, 0.01).when(x >= 3.84 + (df - 1) * 2, 0.05).otherwise(0.1)
     return F.when((x <= 0) | (df <= 0), 1.0).when(df == 1, one).when(df == 2, two).otherwise(more)
+
+
+#: Critical chi-square at 5 % by degrees of freedom; others take that of one.
+CRITICAL = {1: 3.841, 2: 5.991, 3: 7.815, 4: 9.488}
+
+
+def critical_value(df: Column) -> Column:
+    out = F.lit(CRITICAL[1])
+    for d, v in CRITICAL.items():
+        out = F.when(df == d, v).otherwise(out)
+    return out
+
+
+def table_p(x: Column, df: Column) -> Column:
+    """The p step of a table of any size: in steps for one degree of freedom, else .04 above the critical value and .1 below."""
+    return F.when(df == 1, step_p(x)).when(x > critical_value(df), 0.04).otherwise(0.1)

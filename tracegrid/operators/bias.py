@@ -165,3 +165,45 @@ def signature_strength(support: DataFrame, dims: int = 3) -> DataFrame:
     boost = F.least(F.when(F.col("agree"), 0.15).otherwise(0.0) + F.when(F.col("strength") > 0.8, 0.1).otherwise(0.0) + (F.greatest(F.col("active"), F.lit(1)) - 1) * 0.05 + F.col("diversity") * 0.1, F.lit(0.4))
     out = rows.join(fines, "platform", "left").withColumns({"boost": boost, "penalty": F.coalesce("penalty", F.lit(0.0))})
     return out.select("platform", F.round("boost", 6).alias("boost"), F.round("penalty", 6).alias("penalty"), F.round("diversity", 6).alias("diversity"), F.round(S.clamp(F.col("mean") * (1 + F.col("boost")) - F.col("penalty"), 0.0, 1.0), 6).alias("score"), (F.col("s") >= 0.3).alias("counts"))
+
+
+def table_test(cells: DataFrame, row: str, column: str, n: str) -> DataFrame:
+    """rows, columns, statistic, df, critical, p_value, low_expected of a table of counts (row, column, n), zeros left out or not.
+
+    Corrected for continuity if it is two by two. A cell without observations adds its expectation, so zeros are not filled in.
+    """
+    c = cells.groupBy(row, column).agg(F.sum(n).alias("o")).where("o > 0")
+    r, k = c.groupBy(F.col(row).alias("_r")).agg(F.sum("o").alias("rt")), c.groupBy(F.col(column).alias("_k")).agg(F.sum("o").alias("kt"))
+    total, rows, cols = c.agg(F.sum("o")).scalar().cast("double"), r.agg(F.count(F.lit(1))).scalar(), k.agg(F.count(F.lit(1))).scalar()
+    least = r.agg(F.min("rt")).scalar() * k.agg(F.min("kt")).scalar() / total
+    e = F.col("rt") * F.col("kt") / total
+    square = (rows == 2) & (cols == 2)
+    # Four cells at most are filled in where the correction needs them; its term for an empty cell is that of its expectation.
+    gap = F.abs(F.col("o") - e)
+    held = c.join(r, F.col(row).eqNullSafe(F.col("_r"))).join(k, F.col(column).eqNullSafe(F.col("_k"))).select("o", e.alias("e"), (F.when(square, F.greatest(F.lit(0.0), gap - 0.5)).otherwise(gap)).alias("d"))
+    a = held.agg(F.sum(F.col("d") * F.col("d") / F.col("e")).alias("x"), F.sum("e").alias("e"))
+    empty = F.greatest(F.lit(0.0), total - F.col("e"))
+    x = F.col("x") + F.when(square & (empty > 1e-9), F.pow(F.greatest(F.lit(0.0), empty - 0.5), F.lit(2)) / F.greatest(empty, F.lit(1e-9))).otherwise(empty)
+    df = (rows - 1) * (cols - 1)
+    return a.select(rows.alias("rows"), cols.alias("columns"), F.round(x, 4).alias("statistic"), df.alias("df"), S.critical_value(df).alias("critical"), S.table_p(x, df).alias("p_value"), (least < 5).alias("low_expected"))
+
+
+def category_bias(categories: DataFrame) -> DataFrame:
+    """category, expected, actual, ratio, level, imbalance: headers of a category against an equal share of all."""
+    total, k = categories.agg(F.sum("headers")).scalar(), categories.agg(F.count(F.lit(1))).scalar()
+    even = total / k
+    r = F.col("headers") / even
+    level = F.when((r > 2) | (r < 0.5), "high").when((r > 1.5) | (r < 0.67), "medium").otherwise("low")
+    return categories.select("category", F.floor(even + 0.5).alias("expected"), F.col("headers").alias("actual"), F.round(r, 6).alias("ratio"), level.alias("level"), F.when(r > 1.8, "over").when(r < 0.6, "under").otherwise("even").alias("imbalance"))
+
+
+def classification_insights(classified: DataFrame, vendor: Column) -> DataFrame:
+    """One row: headers, categorised, most common category (ties to the first name), sure (score above .8), with a vendor or
+    platform, custom, and those that may concern security."""
+    n = F.lower("feature")
+    safe = n.contains("security") | n.contains("csp") | n.contains("cors") | (F.col("category") == "security")
+    most = classified.groupBy("category").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "category"))["category"]).scalar()
+    return classified.agg(
+        F.count(F.lit(1)).alias("headers"), F.count_if(F.col("category") != "custom").alias("categorised"), F.max(most).alias("most_common"), F.count_if(F.col("score") > 0.8).alias("sure"), F.count_if(vendor.isNotNull() | F.col("named_platform").isNotNull()).alias("of_vendors"),
+        F.count_if(F.col("category") == "custom").alias("custom"), F.count_if(safe).alias("security"),
+    )

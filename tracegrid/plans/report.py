@@ -1,4 +1,5 @@
-"""Reports of small result frames as text, Markdown, CSV or JSON; what is rendered is bounded by ``most`` rows a section."""
+"""Reports of result frames as text, Markdown, CSV or JSON. A section shows ``most`` rows and says how many more there are; for
+whole results use the sinks, which write from the executors."""
 
 from __future__ import annotations
 
@@ -14,8 +15,13 @@ def _cell(v: object) -> str:
 
 
 def render(sections: dict[str, DataFrame], fmt: str = "markdown", most: int = 50) -> str:
-    """One report of named frames. Formats: human, markdown, csv, json."""
-    tables = {k: (df.columns, [list(r) for r in df.limit(most).collect()]) for k, df in sections.items()}
+    """One report of named frames. Formats: human, markdown, csv, json. A longer section ends in a row that tells what is left out."""
+    tables = {}
+    for k, df in sections.items():
+        rows = [list(r) for r in df.limit(most + 1).collect()]
+        if len(rows) > most:
+            rows = [*rows[:most], [f"... {df.count() - most} more rows", *[""] * (len(df.columns) - 1)]]
+        tables[k] = (df.columns, rows)
     if fmt == "json":
         return json.dumps({k: [dict(zip(c, r)) for r in rows] for k, (c, rows) in tables.items()}, default=str, indent=2)
     if fmt == "csv":

@@ -92,8 +92,34 @@ def robots_features(spark: SparkSession, sf: str) -> DataFrame:
     return Q.feature_frequency(O.headers(spark, sf).where("page_kind = 'robots'"), MIN)
 
 
+def table_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the kind of page depends on the platform: a table of any size."""
+    obs = O.headers(spark, sf).where("page_kind is not null")
+    return B.table_test(obs.groupBy("platform", "page_kind").agg(F.count(F.lit(1)).alias("n")), "platform", "page_kind", "n")
+
+
+def category_bias(spark: SparkSession, sf: str) -> DataFrame:
+    return B.category_bias(V.category_distribution(O.headers(spark, sf)))
+
+
+def classification_insights(spark: SparkSession, sf: str) -> DataFrame:
+    c = V.classified(O.headers(spark, sf).select("feature").distinct())
+    return B.classification_insights(c, V.vendor_of(F.col("feature")))
+
+
+def meta_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """Meta values by rows, with the older confidence."""
+    return Q.occurrence_patterns(O.metas(spark, sf))
+
+
+def frequent_combinations(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of headers on a tenth of the sites and more, and whether one never comes without the other."""
+    p = C.pairs(O.headers(spark, sf), MIN).where("freq_pct >= 10")
+    return p.select("f1", "f2", "n", "freq_pct", (F.col("n") == F.least("n1", "n2")).alias("inseparable"))
+
+
 _ALL = (
-    statistical_summary, sample_adequacy, consistency_checks, feature_shares, prefix_shares, naming_conventions, header_categories, top_pattern_test, context_filter, vendor_signatures, vendor_consistency, signature_strength,
+    table_test, category_bias, classification_insights, meta_occurrences, frequent_combinations, statistical_summary, sample_adequacy, consistency_checks, feature_shares, prefix_shares, naming_conventions, header_categories, top_pattern_test, context_filter, vendor_signatures, vendor_consistency, signature_strength,
     platforms_with_header, robots_features,
 )
 
@@ -117,6 +143,18 @@ def oracle_sql() -> dict[str, str]:
     pairs = [(a.lower(), b.lower()) for a, b in K.EXCLUSIVE_PLATFORMS]
     values = ", ".join(f"('{a}', '{b}')" for a, b in pairs + [(b, a) for a, b in pairs])
     return {
+        "table_test": f"""WITH {h}, c AS (SELECT platform AS a, page_kind AS b, count(*)::DOUBLE AS o FROM obs WHERE page_kind IS NOT NULL GROUP BY ALL), r AS (SELECT a, sum(o) AS rt FROM c GROUP BY 1), k AS (SELECT b, sum(o) AS kt FROM c GROUP BY 1), t AS (SELECT sum(o) AS t, (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM k) AS nk FROM c),
+f AS (SELECT coalesce(o, 0) AS o, rt * kt / t AS e, nr, nk FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c USING (a, b)), x AS (SELECT any_value(nr) AS nr, any_value(nk) AS nk, sum(pow(CASE WHEN nr = 2 AND nk = 2 THEN greatest(0, abs(o - e) - .5) ELSE abs(o - e) END, 2) / e) AS x, min(e) AS le FROM f),
+y AS (SELECT *, (nr - 1) * (nk - 1) AS df, CASE (nr - 1) * (nk - 1) WHEN 2 THEN 5.991 WHEN 3 THEN 7.815 WHEN 4 THEN 9.488 ELSE 3.841 END::DOUBLE AS cv FROM x)
+SELECT nr AS rows, nk AS columns, round(x, 4) AS statistic, df, cv AS critical, CASE WHEN df = 1 THEN CASE WHEN x >= 10.828 THEN .001 WHEN x >= 6.635 THEN .01 WHEN x >= 3.841 THEN .05 WHEN x >= 2.706 THEN .1 ELSE .2 END WHEN x > cv THEN .04 ELSE .1 END::DOUBLE AS p_value, le < 5 AS low_expected FROM y""",
+        "category_bias": f"""WITH {h}, {_class_sql('SELECT DISTINCT feature FROM obs')}, q AS (SELECT category, count(*) AS n FROM cl GROUP BY 1), t AS (SELECT sum(n) / count(*)::DOUBLE AS e FROM q)
+SELECT category, floor(e + .5)::BIGINT AS expected, n AS actual, round(n / e, 6) AS ratio, CASE WHEN n / e > 2 OR n / e < .5 THEN 'high' WHEN n / e > 1.5 OR n / e < .67 THEN 'medium' ELSE 'low' END AS level, CASE WHEN n / e > 1.8 THEN 'over' WHEN n / e < .6 THEN 'under' ELSE 'even' END AS imbalance FROM q, t""",
+        "classification_insights": f"""WITH {h}, {_class_sql('SELECT DISTINCT feature FROM obs')} SELECT count(*) AS headers, count(*) FILTER (WHERE category <> 'custom') AS categorised, (SELECT category FROM cl GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 1) AS most_common, count(*) FILTER (WHERE score > .8) AS sure,
+  count(*) FILTER (WHERE coalesce(CASE {N._EXACT} END, CASE {N._INSIDE} END, named_platform) IS NOT NULL) AS of_vendors, count(*) FILTER (WHERE category = 'custom') AS custom, count(*) FILTER (WHERE category = 'security' OR regexp_matches(feature, 'security|csp|cors')) AS security FROM cl""",
+        "meta_occurrences": f"""WITH {O.METAS_SQL}, {_SITES}, a AS (SELECT feature, value, count(*) AS occurrences, count(DISTINCT platform) AS platforms FROM obs WHERE value IS NOT NULL GROUP BY ALL)
+SELECT feature, value, occurrences, platforms, round(occurrences / n::DOUBLE, 6) AS frequency, round(greatest(.1, least(1, (1 - occurrences / n::DOUBLE) * CASE WHEN platforms > 5 THEN .5 WHEN platforms = 1 THEN 1.2 ELSE 1 END))::DOUBLE, 6) AS confidence FROM a, n""",
+        "frequent_combinations": f"""WITH {h}, {_SITES}, d AS (SELECT DISTINCT site, feature FROM obs), f AS (SELECT feature, count(*) AS k FROM d GROUP BY 1 HAVING count(*) >= {MIN}), p AS (SELECT a.feature AS f1, b.feature AS f2, count(*) AS c FROM d a JOIN d b ON a.site = b.site AND a.feature < b.feature GROUP BY ALL)
+SELECT f1, f2, c AS n, round(c * 100 / n::DOUBLE, 6) AS freq_pct, c = least(x.k, y.k) AS inseparable FROM p JOIN f x ON x.feature = f1 JOIN f y ON y.feature = f2, n WHERE c >= {MIN} AND round(c * 100 / n::DOUBLE, 6) >= 10""",
         "sample_adequacy": f"WITH {w}, {_CELLS}, {_PER} SELECT feature, nf AS sites, mn AS least, CASE WHEN nf >= 30 AND mn >= 5 THEN 'adequate' WHEN nf >= 15 AND mn >= 3 THEN 'marginal' ELSE 'inadequate' END AS label FROM pf",
         "consistency_checks": f"WITH {h}, {_CELLS}, q AS (SELECT count(*) AS m FROM (SELECT feature FROM obs GROUP BY 1 HAVING count(DISTINCT site) >= {MIN})) SELECT unnest(['feature counts', 'site totals', 'frequencies']) AS \"check\", unnest([m, 1, m]) AS compared, unnest([0, 0, 0])::BIGINT AS issues FROM q",
         "feature_shares": f"WITH {h}, {_CELLS} SELECT feature, platform, n AS sites, round(nf / total, 6) AS frequency, round(n / nf::DOUBLE, 6) AS share FROM c",

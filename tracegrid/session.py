@@ -60,3 +60,19 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Functions that SQL can call once ``register`` has run: name, parameters, result, expression. All of them run in the JVM.
+FUNCTIONS = [
+    ("tg_host", "url STRING", "STRING", r"lower(regexp_extract(url, r'^[^\p{L}\p{N}]*(?:[A-Za-z]+\s*:\s*/\s*/)?[^\p{L}\p{N}]*(?:[wW][wW][wW]\.)?([\p{L}\p{N}.-]+)', 1))"),
+    ("tg_platform", "name STRING", "STRING", r"coalesce(nullif(lower(regexp_replace(name, r'^[\s\p{Z}]+|[\s\p{Z}]+$', '')), ''), 'unknown')"),
+    ("tg_share", "part DOUBLE, whole DOUBLE", "DOUBLE", "coalesce(try_divide(part, whole), 0D)"),
+    ("tg_wilson_lower", "k DOUBLE, n DOUBLE", "DOUBLE", "CASE WHEN n <= 0 OR k <= 0 THEN 0D ELSE (k / n + 1.9208D / n - 1.96D * sqrt(k / n * (1 - k / n) / n + 0.9604D / (n * n))) / (1 + 3.8416D / n) END"),
+]
+
+
+def register(spark: SparkSession, extra: list[tuple[str, str, str, str]] | None = None) -> list[str]:
+    """Make the library's functions, and any of the caller's, known to SQL in this session; the names. Existing ones are replaced."""
+    for name, params, result, body in (*FUNCTIONS, *(extra or [])):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
+    return [n for n, *_ in (*FUNCTIONS, *(extra or []))]
