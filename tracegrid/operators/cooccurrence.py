@@ -59,17 +59,15 @@ def platform_pairs(obs: DataFrame, min_sites: int = 2, share: float = 0.1) -> Da
     """platform, f1, f2, n, freq, exclusivity: pairs frequent within a platform, and their share of the pair's sites anywhere."""
     sizes = obs.select("site", "platform").distinct().groupBy("platform").agg(F.count(F.lit(1)).alias("np")).where(F.col("np") >= max(2, min_sites))
     d = obs.select("site", "platform", "feature").distinct()
-    # A pair is no more frequent in a platform than either of its features, so those below the floors go before the self-join.
-    # What remains of a platform decides which pairs count there; where else they occur is counted for these pairs only.
+    # A pair is no more frequent in a platform than either of its features, so a feature that is below the floors on every
+    # platform is in no pair that counts and goes before the self-join. A site has one platform, so the pairs of the others
+    # still have all their sites.
     n = d.groupBy("platform", "feature").agg(F.count(F.lit(1)).alias("n")).join(sizes, "platform").where((F.col("n") >= min_sites) & (F.col("n") / F.col("np") >= share))
-    near = d.join(n.select("platform", "feature"), ["platform", "feature"])
-    own = near.withColumnRenamed("feature", "f1").join(near.select("site", "platform", F.col("feature").alias("f2")), ["site", "platform"]).where("f1 < f2")
-    per = own.groupBy("platform", "f1", "f2").agg(F.count(F.lit(1)).alias("n")).join(sizes, "platform").where((F.col("n") >= min_sites) & (F.col("n") / F.col("np") >= share))
-    known = per.select("f1", "f2").distinct()
-    features = known.select(F.explode(F.array("f1", "f2")).alias("feature")).distinct()
-    held = d.select("site", "platform", "feature").join(features, "feature", "left_semi")
-    both = held.withColumnRenamed("feature", "f1").join(known, "f1").join(held.select("site", "platform", F.col("feature").alias("f2")), ["site", "platform", "f2"])
-    anywhere = both.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("anywhere"))
+    near = d.join(n.select("feature").distinct(), "feature", "left_semi")
+    both = near.withColumnRenamed("feature", "f1").join(near.select("site", "platform", F.col("feature").alias("f2")), ["site", "platform"]).where("f1 < f2")
+    counts = both.groupBy("platform", "f1", "f2").agg(F.count(F.lit(1)).alias("n"))
+    anywhere = counts.groupBy("f1", "f2").agg(F.sum("n").alias("anywhere"))
+    per = counts.join(sizes, "platform").where((F.col("n") >= min_sites) & (F.col("n") / F.col("np") >= share))
     rows = per.join(anywhere, ["f1", "f2"])
     return rows.select("platform", "f1", "f2", "n", F.round(F.col("n") / F.col("np"), 6).alias("freq"), F.round(F.col("n") / F.col("anywhere"), 6).alias("exclusivity"))
 

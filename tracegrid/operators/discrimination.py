@@ -54,8 +54,10 @@ def cube(obs: DataFrame) -> DataFrame:
     level = F.when(F.grouping_id() == 0, "cell").when(F.grouping_id() == 1, "feature").when(F.grouping_id() == 2, "platform")
     g = d.groupingSets([["feature", "platform"], ["feature"]], "feature", "platform")
     cells = g.agg(F.count(F.lit(1)).alias("n"), level.alias("level")).select("feature", "platform", "level", "n")
-    # The platform margin counts sites, and a site has many features: it comes from the sites.
-    return cells.unionByName(platforms(obs).select(F.lit(None).cast("string").alias("feature"), "platform", F.lit("platform").alias("level"), F.col("np").alias("n")))
+    # The platform margin counts sites, and a site has many features: it comes from the sites of the same distinct rows. The
+    # count keeps the planner from going back to the raw rows for them.
+    sites_ = d.groupBy("site", "platform").agg(F.count(F.lit(1)).alias("k")).where("k > 0").groupBy("platform").agg(F.count(F.lit(1)).alias("np"))
+    return cells.unionByName(sites_.select(F.lit(None).cast("string").alias("feature"), "platform", F.lit("platform").alias("level"), F.col("np").alias("n")))
 
 
 def cells(obs: DataFrame, min_sites: int = 1) -> DataFrame:
