@@ -290,6 +290,10 @@ SELECT CASE WHEN NOT coalesce(captured_at >= TIMESTAMP '2024-01-01' AND captured
         "capture_export": f"""WITH {O._SP}, {_ONE} SELECT capture_id, url, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS timestamp, url AS finalUrl, status_code AS statusCode, coalesce(platform, 'unknown') AS cms, '' AS confidence, '' AS version, 0 AS redirectCount, false AS protocolUpgraded, '' AS loadTime,
   coalesce(length({_HTML}), 0) AS htmlSize, coalesce(cardinality(page_data.metadata), 0)::INT AS metaTagCount, coalesce(len(page_data.scripts), 0) AS scriptCount, {_count(P.LINK)} AS linkCount FROM cp LEFT JOIN sp ON site = lower(regexp_extract(url, '{O.HOST}', 1))""",
         "discriminative_filters": f"""WITH {_ONE}, x AS (SELECT coalesce(map_keys(page_data.http_info.headers), []) AS h, coalesce(map_keys(page_data.metadata), []) AS m, coalesce(list_transform(page_data.scripts, lambda z: z.src), []) AS s FROM cp) {' UNION ALL '.join(_level(n) for n in X.LEVELS)}""",
+        "own_addresses": f"""WITH {_DOC}, q AS (SELECT DISTINCT record_id, regexp_replace(lower(regexp_extract(url, '{O.HOST}', 1)), '^www\\.', '') AS host, j->>'$.content' AS c FROM jd WHERE j->>'$.content' IS NOT NULL), x AS (SELECT *, string_split(c, 'sitemap.xml') AS ps,
+  len(list_filter(regexp_extract_all(c, '(?i)https?://[^\\s"''<>)]*?sitemap\\.xml'), lambda u: regexp_replace(lower(regexp_extract(u, '(?i)^https?://([^/:?#\\s]+)', 1)), '^www\\.', '') = host)) AS o FROM q),
+y AS (SELECT record_id, o, list_transform(range(1, len(ps)), lambda i: array_to_string(ps[1:i], 'sitemap.xml')) AS le FROM x)
+SELECT record_id, o > 0 OR len(list_filter(le, lambda z: NOT regexp_matches(lower(right(z, 50)), 'https?://'))) > 0 AS own, (o + len(list_filter(le, lambda z: NOT regexp_matches(lower(regexp_extract(right(z, 100), '([^\\s"''<>)]*)$', 1)), 'https?://'))))::INT AS times FROM y""",
         "script_catalogue": f"""WITH src AS (SELECT coalesce(file_id, '') AS site, unnest(examples) AS s FROM script_patterns UNION ALL SELECT coalesce(file_id, ''), url FROM capture_index), rw AS (SELECT * FROM src WHERE s IS NOT NULL AND s <> ''), n AS (SELECT count(DISTINCT site)::DOUBLE AS n FROM rw),
 ct AS (SELECT * FROM (VALUES {', '.join(cat)}) AS t(part, category, platform, base)), m AS (SELECT part, category, platform, base, count(DISTINCT site) AS k FROM rw JOIN ct ON contains(lower(s), part) GROUP BY ALL)
 SELECT platform, category, count(*) AS patterns, round(max(base * (.7 + .3 * least(3 * k / n, 1))), 6) AS confidence FROM m, n GROUP BY ALL""",
