@@ -87,7 +87,17 @@ UNION ALL SELECT 'sanity', CASE WHEN sums + cnt + ov = 0 THEN greatest(.7, 1 - w
 UNION ALL SELECT 'significance', greatest(.3, k / m::DOUBLE), true, unnest(['significant', 'rate']), unnest([k, k / m::DOUBLE]) FROM s6
 UNION ALL SELECT 'recommendation', (coalesce(list_avg(r), 1) + 1) / 2, true, unnest(['recommendations', 'mean_confidence']), unnest([len(r), coalesce(list_avg(r), 1)]) FROM (SELECT list_filter([CASE WHEN s1.r > .5 THEN .8 END, CASE WHEN greatest(.3, least(1, n / 200.0)) < .8 THEN .9 END, CASE WHEN cov < .5 THEN .7 END, CASE WHEN sums + cnt + ov > 0 THEN .8 END], lambda z: z IS NOT NULL) AS r FROM s1, n, s3b, s5))
 SELECT stage, round(score, @D)::DOUBLE AS score, passed, metric, round(value::DOUBLE, 5) AS value FROM al"""
+    metrics = f"""WITH {h}, v AS (SELECT feature, value, count(DISTINCT site) AS k FROM obs WHERE value IS NOT NULL GROUP BY ALL), p AS (SELECT feature, count(*) AS values FROM v GROUP BY 1), s AS (SELECT feature, count(DISTINCT site) AS sites FROM obs GROUP BY 1 HAVING count(DISTINCT site) >= {MIN})
+SELECT feature, sites, values FROM s JOIN p USING (feature)"""
+    other = A.oracle_sql()
+    risk = f"""WITH sp AS ({other['platform_specificity'].replace(w, h)}), fi AS (SELECT feature, count(*) FILTER (WHERE significant) AS sig FROM ({other['conditional_probability']}) GROUP BY 1), m AS ({metrics}),
+ld AS (WITH {h}, {_CELLS} SELECT feature, arg_min({{'f': f, 'np': np}}, (-f, platform)) AS b FROM c WHERE platform <> 'unknown' GROUP BY 1), tt AS (WITH {h}, {_CELLS} SELECT total, k FROM t),
+x AS (SELECT m.feature, list_filter([CASE WHEN specificity > .7 THEN 'high:platform' END, CASE WHEN b.f > .8 AND b.np / total > .5 THEN 'high:dataset' END, CASE WHEN sites / total < .1 AND specificity > .5 THEN 'medium:concentration' END, CASE WHEN sites < 5 THEN 'medium:sample' END,
+  CASE WHEN sig / k < .3 THEN 'medium:significance' END, CASE WHEN values < 3 AND sites > 10 THEN 'low:values' END], lambda z: z IS NOT NULL) AS x FROM m JOIN sp USING (feature) JOIN fi USING (feature) LEFT JOIN ld USING (feature), tt),
+y AS (SELECT *, len(list_filter(x, lambda z: starts_with(z, 'high'))) > 0 AS hi, len(list_filter(x, lambda z: starts_with(z, 'medium'))) AS md FROM x)
+SELECT feature, array_to_string(x, ', ') AS factors, CASE WHEN hi THEN 'high' WHEN md > 1 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN hi THEN 'low' WHEN list_contains(x, 'medium:concentration') OR list_contains(x, 'medium:sample') THEN 'medium' ELSE 'high' END AS confidence FROM y"""
     return {
+        "recommendation_risk": risk,
         "validation_stages": stages.replace("@D", "5"),
         "validation_verdict": f"""WITH p AS (SELECT DISTINCT stage, score, passed FROM ({stages.replace("@D", "12")})), a AS (SELECT exp(sum(ln(greatest(score * CASE WHEN passed THEN 1 ELSE .5 END, 1e-9)))) AS s, bool_and(passed) AS ok, count(*) AS stages FROM p)
 SELECT stages, round(s, 4) AS score, CASE WHEN s >= .9 THEN 'A' WHEN s >= .8 THEN 'B' WHEN s >= .7 THEN 'C' WHEN s >= .6 THEN 'D' ELSE 'F' END AS grade, ok AND s >= .7 AS passed FROM a""",
